@@ -22,6 +22,8 @@ from .common import cut, word_count
 
 #: Rows a cell of the two-level sum should hold, and the most cells of a source.
 CELL_ROWS, MAX_CELLS = 2048, 1 << 16
+#: Sources whose table of one row each is broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 50_000
 #: Rates at times 0, 1/2 and 1 by weight 1, 2, 3: light sources early, heavy ones late.
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
 
@@ -86,7 +88,10 @@ def _plan(base: DataFrame, limit: int, schedules) -> DataFrame:
     targets = cut(source_targets(base, limit=limit))
     cells = F.least(F.lit(MAX_CELLS), F.greatest(F.lit(1), F.ceil(F.col("source_rows") / CELL_ROWS))).cast("long")
     named = targets.withColumn("__cells", cells).withColumn("__key", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))))
-    rows = base.withColumn("__key", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))).join(named.drop("source"), "__key")
+    named = named.drop("source")
+    # a join by source alone would bring a hot source's rows to one task
+    named = F.broadcast(named) if targets.count() <= BROADCAST_SOURCES else named
+    rows = base.withColumn("__key", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))).join(named, "__key")
     # cells are hash ranges: their order is the order of the hash
     rows = rows.withColumn("__cell", F.floor(F.shiftrightunsigned("__h", 33) * F.col("__cells") / float(1 << 31)).cast("long"))
     sums = rows.groupBy("__key", "__cell").agg(F.sum("size").alias("__in_cell"))

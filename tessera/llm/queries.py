@@ -1,23 +1,58 @@
-"""The registered queries of the training-data operators."""
+"""The registered queries of the training-data operators, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, sharding, simhash
+from . import decontam, embedding_dedup, kneser_ney, mixing, pii, ppm, secret_scan, sharding, simhash, toxicity
+from .common import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def _listed(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
+    some = spans if kinds is None else F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans, base = F.col("secrets"), secret_scan.KINDS[:3]
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(_listed(spans, base), 256).alias("base_sha256"), _listed(spans).alias("spans"))
+
+
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = ppm.score(docs, fold(docs["doc_id"], 5) != 1)
+    return scored.select("doc_id", (fold(scored["doc_id"], 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.where(fold(labels["doc_id"], 4) != 2))
+    scored = toxicity.score_toxicity(docs, model)
+    score = F.col("toxicity.score")
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"),
+        F.size("toxicity.passages").alias("n_passages"), F.col("toxicity.best").alias("best_segment"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -31,6 +66,27 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.concat(*[pii.listed(F.col(k), k) for k in pii.KINDS])
+    every = F.concat(base, pii.listed(F.col("context"), "context"))
+    return found.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(every, ",").alias("spans"),
+    )
+
+
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the texts that the labels call good."""
+    return table(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    found = kneser_ney.classify(docs, kneser_ney.fit(docs, trusted_ids(spark, sf_dir)))
+    return found.select("doc_id", "lang", F.exp("log_perplexity").alias("perplexity"), F.exp("threshold").alias("limit"), "accepted")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     sized = sharding.histogram_shard(docs, 8)
@@ -41,9 +97,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op6_simhash, op7_decontamination, op10_sharding)}
+    named = (
+        op1_embedding_dedup, op2_secrets, op3_ppm, op4_mixing, op5_toxicity, op6_simhash, op7_decontamination, op8_pii, op9_quality, op10_sharding,
+        pipeline,
+    )
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL exists for the queries whose whole result SQL can state; the others are tested against brute force."""
+    return dict(ORACLE)
+
+
+ORACLE: dict[str, str] = {}
