@@ -121,11 +121,13 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     null keeps one row.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius)
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component").agg(F.count(F.lit(1)).alias("__same"), F.min("fp").alias("__fp"))
-    chosen = cut(chosen.withColumnsRenamed({"doc_id": "__id", "component": "__component"}))
+    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component").agg(F.min("fp").alias("__fp"))
+    chosen = chosen.withColumnsRenamed({"doc_id": "__id", "component": "__component"})
+    rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__same"))
+    chosen = cut(chosen.join(rows, F.col("__id").eqNullSafe(F.col("doc_id"))).drop("doc_id"))
     kept = docs.join(chosen, docs[id_col].eqNullSafe(F.col("__id")))
     once = kept.where(F.col("__same") == 1)
-    # repeated ids are rare: only their rows are compared with each other
-    again = kept.where(F.col("__same") > 1)
-    again = again.withColumn("__print", fingerprint(docs[text_col], shingle)).where(F.col("__print") == F.col("__fp")).dropDuplicates(["__component"])
+    # repeated ids are rare: only their rows' fingerprints are compared (the condition keeps the others from being computed)
+    again = kept.where(F.col("__same") > 1).withColumn("__print", fingerprint(F.when(F.col("__same") > 1, docs[text_col]), shingle))
+    again = again.where(F.col("__print") == F.col("__fp")).dropDuplicates(["__component"])
     return once.select(*docs.columns).unionByName(again.select(*docs.columns))
