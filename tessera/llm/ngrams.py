@@ -61,19 +61,36 @@ def chunks(texts: Iterable[bytes | None], order: int) -> Iterator[tuple[np.ndarr
 
 
 class Counter:
-    """Sums codes; holds at most about ``limit`` distinct ones before it hands them on."""
+    """Sums codes; holds at most about ``limit`` distinct ones, and a buffer, before it hands them on."""
 
-    def __init__(self, limit: int = 1 << 20):
-        self.limit, self.codes, self.counts = limit, np.empty(0, np.uint64), np.empty(0, np.int64)
+    def __init__(self, limit: int = 1 << 20, buffer: int = 1 << 22):
+        self.limit, self.buffer, self.parts, self.size = limit, buffer, [], 0
+        self.codes, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
 
     def add(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        new, n = np.unique(codes, return_counts=True)
-        codes, counts = np.concatenate([self.codes, new]), np.concatenate([self.counts, n])
-        self.codes, inverse = np.unique(codes, return_inverse=True)
-        self.counts = np.bincount(inverse, counts).astype(np.int64)
+        self.parts.append(codes)
+        self.size += len(codes)
+        if self.size < self.buffer:
+            return None
+        self._fold()
         return self.take() if len(self.codes) > self.limit else None
 
+    def _fold(self) -> None:
+        if not self.parts:
+            return
+        new, n = np.unique(np.concatenate(self.parts), return_counts=True)
+        self.parts, self.size = [], 0
+        if len(self.codes):
+            # two sorted runs: a stable sort merges them
+            new, n = np.concatenate([self.codes, new]), np.concatenate([self.counts, n])
+            order = np.argsort(new, kind="stable")
+            new = new[order]
+            first = np.flatnonzero(np.concatenate([[True], new[1:] != new[:-1]]))
+            new, n = new[first], np.add.reduceat(n[order], first)
+        self.codes, self.counts = new, n.astype(np.int64)
+
     def take(self) -> tuple[np.ndarray, np.ndarray]:
+        self._fold()
         out = self.codes, self.counts
         self.codes, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
         return out

@@ -8,13 +8,12 @@ context's bytes are a subset of the shorter one's, an exclusion is a difference
 of two sums, so whole arrays of bytes are scored at once.
 
 The escape mass of a context is its number of distinct bytes (method C) plus the
-counts of children that were pruned.  A child is kept if its count is at least
-(bytes of training text) / ``max_nodes``; so no level has more than ``max_nodes``
-of them, which bounds what is broadcast at any size of the corpus.
+counts of children that were pruned.  Children are pruned below the smallest
+count that leaves every level at most ``max_nodes`` of them, which bounds what is
+broadcast at any size of the corpus.
 
-The word-level baseline of :func:`score` is exact: words with counts of at least
-(tokens) / ``max_words`` are broadcast (at most ``max_words`` of them), all others
-are joined by a shuffle on the word.
+The word-level baseline of :func:`score` is exact: the most frequent words, at
+most ``max_words``, are broadcast, all others are joined by a shuffle on the word.
 """
 
 from __future__ import annotations
@@ -30,11 +29,13 @@ from pyspark.sql import functions as F
 from . import ngrams
 from .common import LOWER, cut
 
-ORDER = 6
-MAX_NODES = 1_000_000
+ORDER = 5
+MAX_NODES = 400_000
 MAX_WORDS = 200_000
-#: Distinct words that a counting task holds before it hands them on.
-FLUSH = 300_000
+#: Distinct words and n-grams that a counting task holds before it hands them on.
+FLUSH, FLUSH_GRAMS = 400_000, 1_500_000
+#: Texts whose rows a scoring task makes at a time.
+SLICE = 512
 
 
 class Trie:
@@ -75,34 +76,47 @@ class Trie:
         return out
 
     def _escaped(self, codes: np.ndarray) -> np.ndarray:
-        out, alive = np.zeros(len(codes)), np.ones(len(codes), bool)
+        out, left = np.zeros(len(codes)), np.arange(len(codes))
         gone_mass, gone_symbols = np.zeros(len(codes)), np.zeros(len(codes))
         for k in range(self.order, -1, -1):
             level = self.levels[k]
+            if not len(left) or not len(level["kept"]):
+                continue
             sub = codes & np.uint64((1 << 8 * (k + 1)) - 1)
             at = level["contexts"].find(sub >> np.uint64(8))
             known = at >= 0
-            if not known.any():
-                continue
-            mass = np.where(known, level["kept"][at] - gone_mass, 0)
-            escape = np.where(known, level["children"][at] - gone_symbols + level["lost"][at], 0)
+            mass = level["kept"][at] - gone_mass
+            escape = level["children"][at] - gone_symbols + level["lost"][at]
             gram = level["grams"].find(sub)
-            hit = alive & known & (gram >= 0)
-            out[hit] += np.log10(level["counts"][gram[hit]] / (mass[hit] + escape[hit]))
-            alive &= ~hit
-            go = alive & known & (mass + escape > 0) & (escape > 0)
-            out[go] += np.log10(escape[go] / (mass[go] + escape[go]))
-            gone_mass = np.where(known, level["below"][at], gone_mass)
-            gone_symbols = np.where(known, level["children"][at], gone_symbols)
-        out[alive] -= np.log10(256 - gone_symbols[alive])
+            hit = known & (gram >= 0)
+            out[left[hit]] += np.log10(level["counts"][gram[hit]] / (mass[hit] + escape[hit]))
+            go = known & ~hit & (escape > 0)
+            out[left[go]] += np.log10(escape[go] / (mass[go] + escape[go]))
+            gone_mass = np.where(known, level["below"][at], gone_mass)[~hit]
+            gone_symbols = np.where(known, level["children"][at], gone_symbols)[~hit]
+            codes, left = codes[~hit], left[~hit]
+        out[left] -= np.log10(256 - gone_symbols)
         return out
 
 
+def least_count(counted: DataFrame, most: int) -> int:
+    """A count ``n`` that at most ``most`` rows reach, as small as a grid of eighths of powers of two allows."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    left = most
+    above = None
+    for r in counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():
+        if r["rows"] > left:
+            break
+        left, above = left - r["rows"], r["n"]
+    else:
+        return 1
+    return above if above is not None else 1 << 62
+
+
 def train(grams: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> Trie:
     """Trie from (code, n); what reaches the driver is at most ``max_nodes`` rows a level."""
     nodes = cut(ngrams.all_orders(grams, order))
-    size = nodes.where(F.col("k") == 0).agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-size // max_nodes))
+    least = max([1, *(least_count(nodes.where(F.col("k") == k), max_nodes) for k in range(order + 1))])
     nodes = nodes.withColumn("context", ngrams.context("code"))
     whole = nodes.groupBy("k", "context").agg(F.sum("n").alias("whole")).where(F.col("whole") >= least)
     kept = nodes.where(F.col("n") >= least).join(whole, ["k", "context"]).select("k", "code", "n", "whole").toArrow()
@@ -146,7 +160,7 @@ def _corpus_counts(training: DataFrame, order: int) -> DataFrame:
     """(word, code, n) in one scan: words with code null, n-grams with word null; "" is the end of a text."""
 
     def run(batches):
-        words, grams = Words(), ngrams.Counter()
+        words, grams = Words(), ngrams.Counter(FLUSH_GRAMS)
 
         def give_words():
             keys = list(words)
@@ -184,7 +198,7 @@ def _score_rows(docs: DataFrame, order: int, shared, seed_col: str) -> DataFrame
 
     def run(batches):
         frequent, trie, denominator = shared.value
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             ids, seeds = batch.column(0), batch.column(1)
             n = batch.num_rows
             rows = {"row": [], "word": [], "times": []}
@@ -239,7 +253,7 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
     words = counts.where(F.col("code").isNull()).select("word", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     trie = train(counts.where(F.col("code").isNotNull()).select("code", "n"), order, max_nodes)
-    least = max(1, -(-total // max_words))
+    least = least_count(words, max_words)
     denominator = math.log10(total + 0.5 * (distinct + 1))
     top = words.where(F.col("n") >= least).toArrow()
     frequent = {w: math.log10(c + 0.5) - denominator for w, c in zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)}
