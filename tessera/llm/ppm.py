@@ -39,13 +39,23 @@ SLICE = 512
 
 
 class Trie:
-    """Pretrained PPM: for k = 0 to order, kept grams with counts and contexts with (kept count, children, lost count)."""
+    """Pretrained PPM: for k = 0 to order, kept grams with counts and contexts with (kept count, children, lost count).
 
-    def __init__(self, order: int, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """``levels``: per k the codes, their counts and the whole counts of their contexts."""
-        self.order = order
-        self.levels = []
-        for k, (codes, counts, whole) in enumerate(levels):
+    Only the counts travel; tables for lookups are built where texts are scored.
+    """
+
+    def __init__(self, order: int, counted: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """``counted``: per k the codes, their counts and the whole counts of their contexts."""
+        self.order, self.counted, self.levels, self.direct = order, counted, [], None
+
+    def __getstate__(self):
+        return self.order, self.counted
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def _build(self) -> None:
+        for k, (codes, counts, whole) in enumerate(self.counted):
             codes = codes.astype(np.uint64)
             contexts, inverse = np.unique(codes >> np.uint64(8), return_inverse=True)
             kept = np.bincount(inverse, counts, len(contexts))
@@ -62,11 +72,13 @@ class Trie:
                 "children": children, "lost": np.maximum(0, total - kept), "below": below,
             })
         top = self.levels[-1]
-        of = top["contexts"].find(levels[-1][0].astype(np.uint64) >> np.uint64(8))
+        of = top["contexts"].find(self.counted[-1][0].astype(np.uint64) >> np.uint64(8))
         self.direct = np.log10(top["counts"] / (top["kept"] + top["children"] + top["lost"])[of]) if len(of) else np.empty(0)
 
     def logp(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of every window, given the bytes before it."""
+        if self.direct is None:
+            self._build()
         place = self.levels[-1]["grams"].find(codes)
         out = self.direct[place] if len(self.direct) else np.zeros(len(codes))
         missed = np.flatnonzero(place < 0)
@@ -122,7 +134,7 @@ def train(grams: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> T
     kept = nodes.where(F.col("n") >= least).join(whole, ["k", "context"]).select("k", "code", "n", "whole").toArrow()
     k, code, n, w = (kept.column(i).to_numpy() for i in range(4))
     order_by = np.argsort(code, kind="stable")
-    return Trie(order, [(code[i], n[i], w[i]) for i in (order_by[k[order_by] == level] for level in range(order + 1))])
+    return Trie(order, [(code[i], n[i].astype(np.int64), w[i].astype(np.int64)) for i in (order_by[k[order_by] == level] for level in range(order + 1))])
 
 
 def adaptive_code_length(text: bytes, order: int = ORDER) -> float:

@@ -8,10 +8,9 @@ and complete distances are verified on what comes back.  Only distinct
 fingerprints take part: a group of copies is one fingerprint however large.
 
 Keys that many distinct fingerprints share are not joined pair by pair: inside
-such a key the other half is indexed again in two 16-bit parts (a ball of radius 1
-each, as the two sides share all but one bit of the first half), and of the
-verified links the lowest for each fingerprint suffices for components together
-with the links of the others.
+such a key the other half is indexed again in two 16-bit parts, with a ball of
+radius 1 each, as at most 3 differing bits are left for both.  What comes back are
+links between different fingerprints, of which each has a bounded number.
 """
 
 from __future__ import annotations

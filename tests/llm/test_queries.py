@@ -239,3 +239,17 @@ def test_pipeline(spark, sf):
     leaks = {r["doc_id"] for r in Q["op7_decontamination"](spark, sf).collect() if r["contaminated"]}
     assert {r["doc_id"] for r in left.collect()} == set(ids) - leaks
     assert mix(spark, left, sf).columns == docs.columns
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    answer = con.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in answer.description]
+    df = Q[name](spark, sf)
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(tuple(r) for r in df.select(*columns).collect()) == sorted(answer.fetchall())
