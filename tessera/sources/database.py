@@ -70,10 +70,14 @@ class RowRef:
 
 @dataclass(frozen=True)
 class Config:
-    """Where the snapshots are, and whether commits check all references again."""
+    """Where the snapshots are, whether commits check all references again, and how they are made durable.
+
+    ``synchronous`` "full" waits until the manifest is on disk, "normal" until it has left this process.
+    """
 
     folder: str | None = None
     check_references: bool = False
+    synchronous: str = "full"
 
     @staticmethod
     def open(folder: str) -> Config:
@@ -89,7 +93,7 @@ class Database:
 
     def __init__(self, spark: SparkSession, schema: Schema, config: Config = Config()):  # noqa: B008
         self.spark, self.schema, self.config = spark, schema, config
-        self.store = Store(spark, config.folder or tempfile.mkdtemp(prefix="tessera-db-"))
+        self.store = Store(spark, config.folder or tempfile.mkdtemp(prefix="tessera-db-"), config.synchronous)
         self._lock = threading.Lock()
         manifest = self.store.read()
         if manifest is None:

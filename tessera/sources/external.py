@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text_forms import parsed
+
 
 class ExternalSource:
     """``source(table)`` for a folder with one file or folder a table.
@@ -36,9 +38,17 @@ def one_row(spark: SparkSession) -> DataFrame:
 
 
 def conform(raw: DataFrame, table: Any) -> DataFrame:
-    """``raw`` with the table's columns and types; the key is made up if the data has none."""
+    """``raw`` with the table's columns and types; the key is made up if the data has none.
+
+    Texts for columns of times and dates must have the stored form.
+    """
     key = F.col(table._pk_source).cast("long") if table._pk_source in raw.columns else F.monotonically_increasing_id()
-    columns = [F.col(c.external).cast(c.type.spark).alias(name) for name, c in table._columns.items()]
+    texts = {name for name, kind in raw.dtypes if kind == "string"}
+    columns = []
+    for name, c in table._columns.items():
+        kind = c.type.spark
+        value = parsed(F.col(c.external), kind) if c.external in texts and kind in ("timestamp", "date") else F.col(c.external).cast(kind)
+        columns.append(value.alias(name))
     return raw.select(key.alias(table._pk), *columns)
 
 

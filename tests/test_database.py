@@ -378,3 +378,56 @@ def test_empty_table_and_self_reference(spark, tmp_path):
         return sorted(txn.query(reports)), txn.query(lambda q: len(q.into_vec(q.join(Empty))))
 
     assert db.transaction_mut(run) == ([("Ann", 2), ("Bob", 1), ("Cid", 0), ("Dan", 0)], 1)
+
+
+GOOD_TIMES = ["2000-01-01 10:20:30", "2000-01-01 10:20:31", "2000-01-01 10:20:31.1", "2000-01-01 10:20:31.000000001"]
+BAD_TIMES = [
+    "2000-01-01 10:20:30Z", "2000-01-01 10:20:31Z", "2000-01-01 10:20:31+00:01", "2000-01-01 10:20:31+00:00", "2000-01-01 10:20:31 ", "-2000-01-01 10:20:30", "-2000-01-01 10:20:31",
+    "2000-01-01 10:20:30.", "2000-01-01 10:20:30.0", "2000-01-01 10:20:30. 1", "2000-01-01 10:20:30.10", "2000-01-01 10:20:31.0000000001", "2001-02-29 00:00:00",
+]
+GOOD_DATES = ["2000-01-01", "0000-01-30", "9999-12-31", "2000-02-29"]
+BAD_DATES = ["2000-01-01 10:20:30", "2000-01-01 ", "2000-01-01Z", "2000-01-01+00:01", "2000-01-01+00:00", "-2000-01-01", "1900-02-29", "2000-04-31", "2000-13-01"]
+
+
+def test_stored_texts(spark):
+    from tessera.functions.text_forms import valid_date_text, valid_timestamp_text
+
+    for good, bad, check in ((GOOD_TIMES, BAD_TIMES, valid_timestamp_text), (GOOD_DATES, BAD_DATES, valid_date_text)):
+        frame = spark.createDataFrame([(t,) for t in [*good, *bad, None]], "t string")
+        assert [r[0] for r in frame.select(check(F.col("t"))).collect()] == [True] * len(good) + [False] * (len(bad) + 1)
+
+
+def test_import_checks_texts(spark, tmp_path):
+    from tessera import Date
+
+    class Day(Table):
+        on = Column(Date)
+
+    db = Database(spark, Schema(Day), Config(str(tmp_path / "db"), synchronous="normal"))
+    db.import_table(Day, spark.createDataFrame([("2000-01-01",)], "on string"))
+    with pytest.raises(Exception, match="no stored date"):
+        db.import_table(Day, spark.createDataFrame([("2000-01-01Z",)], "on string"))
+
+
+def test_references_are_checked_at_commit(spark, tmp_path):
+    user, image, note, pair, schema = make()
+    db = Database(spark, schema, Config(str(tmp_path / "db"), check_references=True))
+    with pytest.raises(Referenced):
+        db.transaction_mut(lambda txn: txn.insert_many(image, spark.createDataFrame([("x", 7)], "file_name string, uploaded_by long")))
+
+
+def test_stream_is_appended_once(spark, tmp_path):
+    from tessera.streaming.ingest import append_batch, ingest
+
+    class Event(Table):
+        kind = Column(String)
+        value = Column(F64)
+
+    db = Database(spark, Schema(Event), Config.open(str(tmp_path / "db")))
+    rows = spark.range(50).select(F.lit("a").alias("kind"), F.col("id").cast("double").alias("value"))
+    rows.write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        ingest(source, db, Event, "events", str(tmp_path / "checkpoint")).awaitTermination()
+    assert not append_batch(db, Event, "events", rows, 0)
+    assert db.transaction(lambda txn: txn.source(Event).count()) == 50
