@@ -14,7 +14,7 @@ from .plans.expr import Expr, none, some
 from .plans.scopes import Query, aggregate, optional
 from .schema import Column, Schema, Table
 from .sources.database import Config, Conflict, Database, Referenced
-from .sources.external import ExternalSource, run_query
+from .sources.external import ExternalSource, query_one, run_query
 from .sources.migrate import Migrator
 from .types import F64, I64, Date, String, Timestamp
 
@@ -618,6 +618,7 @@ values("ts_to_second", Event, _c(lambda e: {"s": e.time.to_second()}), "SELECT e
 values("ts_subsec", Event, _c(lambda e: {"ns": e.time.subsec_nanosecond()}), "SELECT event_id AS id, ((epoch_us(ts) % 1000000) * 1000)::BIGINT AS ns FROM events")
 values("ts_from_second", Event, _c(lambda e: {"s": Expr.from_second(e.time.to_second().sub(10_000_000_000)).to_second()}), "SELECT event_id AS id, (epoch_us(ts) // 1000000 - 10000000000)::BIGINT AS s FROM events")
 values("ts_add_nanosecond", Event, _c(lambda e: {"us": e.time.add_nanosecond(1_500_000_000).to_second()}), "SELECT event_id AS id, ((epoch_us(ts) + 1500000) // 1000000)::BIGINT AS us FROM events")
+values("ts_nanoseconds", Event, _c(lambda e: {"s": e.time.to_nanos().add_nanosecond(999_999_999).to_second(), "ns": e.time.to_nanos().add_nanosecond(999_999_999).subsec_nanosecond()}), "SELECT event_id AS id, ((epoch_us(ts)::HUGEINT * 1000 + 999999999) // 1000000000)::BIGINT AS s, ((epoch_us(ts)::HUGEINT * 1000 + 999999999) % 1000000000)::BIGINT AS ns FROM events")
 values("ts_to_date", Event, _c(lambda e: {"utc": e.time.to_date_in_tz("UTC"), "plus": e.time.to_date_in_tz("+05:00")}), "SELECT event_id AS id, ts::DATE AS utc, (ts + INTERVAL 5 HOUR)::DATE AS plus FROM events")
 values("ts_compare", Event, _c(lambda e: {"a": e.time.lt(e.time.add_nanosecond(1000)), "b": e.time.max(e.time.add_nanosecond(-1000)).eq(e.time)}), "SELECT event_id AS id, true AS a, true AS b FROM events")
 values("date_parts", Order, _c(lambda o: {"y": o.date.year(), "m": o.date.month(), "d": o.date.day()}), "SELECT o_orderkey AS id, year(o_orderdate)::BIGINT AS y, month(o_orderdate)::BIGINT AS m, day(o_orderdate)::BIGINT AS d FROM orders")
@@ -737,19 +738,136 @@ class NationNamed(Table):
 def migrate_step(spark, sf_dir, folder):
     _world(spark, sf_dir, folder)
     newer = Schema(Region, NationNamed, version=1, previous=WORLD)
+    migrator = Migrator.open(spark, WORLD, Config.open(folder))
+    return _renamed(migrator.migrate(newer, lambda step: step.migrate(NationNamed, name=F.lower("name"), size=F.length("name"))).finish())
+
+
+def _renamed(db: Database) -> DataFrame:
+    def run(q):
+        n = q.join(NationNamed)
+        return q.into_df({"id": n, "name": n.name, "region": n.region, "size": n.size})
+
+    return db.transaction(lambda txn: txn.query(run))
+
+
+@stored("SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE 'odd ' || n_name END AS name, n_regionkey::BIGINT AS region, length(n_name)::BIGINT AS size FROM nation")
+def migrate_in_parts(spark, sf_dir, folder):
+    _world(spark, sf_dir, folder)
+    newer = Schema(Region, NationNamed, version=1, previous=WORLD)
+
+    def parts(step):
+        step.migrate(NationNamed, where=F.col("id") % 2 == 0, name=F.lower("name"), size=F.length("name"))
+        step.migrate_rest(NationNamed, name=F.concat(F.lit("odd "), "name"), size=F.length("name"))
+
+    return _renamed(Migrator.open(spark, WORLD, Config.open(folder)).migrate(newer, parts).finish())
+
+
+@stored("SELECT upper(n_name) || '!' AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' UNION ALL SELECT n_name, 'ASIA' FROM nation WHERE n_regionkey = 2")
+def write_many(spark, sf_dir, folder):
+    """A change of many rows as one projection."""
+    db = _world(spark, sf_dir, folder)
+
+    def change(txn):
+        asia = txn.query_one(Region.by(name="ASIA"))
+        txn.update_where(Nation, F.col("region") != asia.id, name=F.concat(F.upper("name"), F.lit("!")))
+
+    db.transaction_mut(change)
+    return _nations(db)
+
+
+@stored("SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'NEW ' || n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def write_bulk(spark, sf_dir, folder):
+    db = _world(spark, sf_dir, folder)
+    db.transaction_mut(lambda txn: txn.insert_many(Nation, txn.source(Nation).select(F.concat(F.lit("NEW "), "name").alias("name"), "region")))
+    return _nations(db)
+
+
+@stored("SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def write_rolled_back(spark, sf_dir, folder):
+    db = _world(spark, sf_dir, folder)
     try:
-        migrator = Migrator.open(spark, WORLD, Config.open(folder))
-        db = migrator.migrate(newer, lambda step: step.migrate(NationNamed, name=F.lower("name"), size=F.length("name"))).finish()
+        db.transaction_mut(lambda txn: (txn.insert(Nation, name="GONE", region=txn.query_one(Region.by(name="ASIA"))), 1 / 0))
+    except ZeroDivisionError:
+        pass
+    return _nations(db)
+
+
+@stored("SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def read_snapshot(spark, sf_dir, folder):
+    """What a transaction reads stays as it was when it began, whatever is committed meanwhile."""
+    db = _world(spark, sf_dir, folder)
+
+    def read(txn):
+        asia = txn.query_one(Region.by(name="ASIA"))
+        db.transaction_mut(lambda other: other.insert(Nation, name="LATER", region=other.query_one(Region.by(name="ASIA"))))
+        assert asia is not None
 
         def run(q):
-            n = q.join(NationNamed)
-            return q.into_df({"id": n, "name": n.name, "region": n.region, "size": n.size})
-
-        return db.transaction(lambda txn: txn.query(run))
-    finally:
-        for schema in (TABLES, WORLD):
-            for t in schema.tables:
-                t._schema = TABLES
+            n = q.join(Nation)
+            return q.into_df({"name": n.name, "region": n.region.name})
+
+        return txn.query(run)
+
+    return db.transaction(read)
+
+
+@stored("SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey = 1")
+def lazy_scan(spark, sf_dir, folder):
+    db = _world(spark, sf_dir, folder)
+
+    def read(txn):
+        america = txn.query_one(Region.by(name="AMERICA"))
+        return [(n.name, n.region.name) for n in txn.lazy_iter(Nation.at(region=america))]
+
+    return spark.createDataFrame(db.transaction(read), "name string, region string")
+
+
+@stored("SELECT 'nation' AS tbl, 'region' AS col, 'region' AS target")
+def schema_references(spark, sf_dir, folder):
+    db = Database(spark, WORLD, Config.open(folder))
+    return db.transaction(lambda txn: txn.metadata("references")).selectExpr("table AS tbl", "column AS col", "target")
+
+
+@stored("SELECT * FROM (VALUES ('nation', 'name', 'String', false), ('nation', 'region', '->region', false), ('region', 'name', 'String', false)) t(tbl, col, kind, opt)")
+def schema_columns(spark, sf_dir, folder):
+    db = Database(spark, WORLD, Config.open(folder))
+    return db.transaction(lambda txn: txn.metadata("columns")).selectExpr("table AS tbl", "column AS col", "type AS kind", "optional AS opt")
+
+
+@stored("SELECT true AS same, 3::BIGINT AS differences")
+def schema_diff(spark, sf_dir, folder):
+    from .schema import diff
+
+    stored_form, newer = WORLD.canonical(), {**WORLD.canonical()}
+    newer["nation"] = newer["nation"] | {"columns": {"name": "I64", "size": "I64"}}
+    return spark.createDataFrame([(WORLD.hash() == Schema(Nation, Region).hash(), len(diff(stored_form, newer)))], "same boolean, differences bigint")
+
+
+@stored("SELECT count(*)::BIGINT AS n, min(n_name) AS first FROM nation")
+def raw_sql(spark, sf_dir, folder):
+    db = _world(spark, sf_dir, folder)
+    return db.transaction(lambda txn: txn.spark_sql("SELECT count(*) AS n, min(name) AS first FROM nation"))
+
+
+@stored("SELECT r_name AS name, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey)::BIGINT AS nations FROM region WHERE r_name = 'ASIA'")
+def one_row(spark, sf_dir, folder):
+    """query_one: several values without a table of their own."""
+    source = ExternalSource(spark, sf_dir)
+
+    def values_of():
+        asia = Region.by(name="ASIA")
+        count = optional(lambda o: o.then(_nations_of(o.and_(asia))))
+        return optional(lambda o: o.then(o.and_(asia).name)).unwrap_or(""), count.unwrap_or(0)
+
+    name, nations = query_one(source, values_of())
+    return spark.createDataFrame([(name, nations)], "name string, nations bigint")
+
+
+def _nations_of(region):
+    def count(rows):
+        return rows.count_distinct(rows.join(Nation.at(region=region)))
+
+    return aggregate(count)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

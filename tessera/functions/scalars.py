@@ -167,6 +167,11 @@ SIMPLE: dict[str, Callable[..., Column]] = {
     "subsec_nanosecond": lambda t: (_micros(t) % 1_000_000) * 1000,
     "from_second": lambda n: F.timestamp_seconds(n),
     "add_nanosecond": lambda t, n: F.timestamp_micros(_micros(t) + F.call_function("div", n, F.lit(1000).cast("long"))),
+    "to_nanos": lambda t: _nanos(F.floor(_micros(t) / 1_000_000.0).cast("long"), F.pmod(_micros(t), F.lit(1_000_000)) * 1000),
+    "to_micros": lambda t: F.timestamp_micros(t["sec"] * 1_000_000 + F.floor(t["nano"] / 1000.0)),
+    "to_second_ns": lambda t: t["sec"] + ((t["sec"] < 0) & (t["nano"] > 0)).cast("long"),
+    "subsec_nanosecond_ns": lambda t: t["nano"].cast("long") - F.when((t["sec"] < 0) & (t["nano"] > 0), F.lit(1_000_000_000)).otherwise(F.lit(0)).cast("long"),
+    "add_nanosecond_ns": lambda t, n: _carry(t["sec"], t["nano"].cast("long") + F.pmod(n, F.lit(1_000_000_000)), n),
     "year": lambda d: F.year(d).cast("long"),
     "month": lambda d: F.month(d).cast("long"),
     "day": lambda d: F.dayofmonth(d).cast("long"),
@@ -175,6 +180,16 @@ SIMPLE: dict[str, Callable[..., Column]] = {
 }
 
 
+def _nanos(sec: Column, nano: Column) -> Column:
+    return F.when(sec.isNotNull() & nano.isNotNull(), F.struct(sec.cast("long").alias("sec"), nano.cast("int").alias("nano")))
+
+
+def _carry(sec: Column, nano: Column, added: Column) -> Column:
+    whole = F.call_function("div", added - F.pmod(added, F.lit(1_000_000_000)), F.lit(1_000_000_000).cast("long"))
+    over = (nano >= 1_000_000_000).cast("long")
+    return _nanos(sec + whole + over, nano - over * 1_000_000_000)
+
+
 def _in_range(d: Column) -> Column:
     return F.when(F.year(d).between(0, 9999), d)
 

@@ -49,7 +49,9 @@ Bool = ValueType("Bool", "boolean")
 Bytes = ValueType("Bytes", "binary", buff=True)
 Timestamp = ValueType("Timestamp", "timestamp")
 Date = ValueType("Date", "date")
-SCALARS = (I64, F64, String, Bool, Bytes, Timestamp, Date)
+#: Times with nanoseconds: seconds before, nanoseconds (0 to 999,999,999) after; they order as times do.
+TimestampNs = ValueType("TimestampNs", "struct<sec:bigint,nano:int>")
+SCALARS = (I64, F64, String, Bool, Bytes, Timestamp, TimestampNs, Date)
 
 
 def row_type(table: Any) -> ValueType:

@@ -46,6 +46,11 @@ VECTORS = [
     (ts(123.713).to_second(), 123), (ts(123.713).subsec_nanosecond(), 713_000_000), (ts(-123.713).to_second(), -123), (ts(-123.713).subsec_nanosecond(), -713_000_000),
     (Expr.from_second(4322).to_second(), 4322), (Expr.from_second(-4322).to_second(), -4322), (Expr.from_second(4322).add_nanosecond(713_000_000).subsec_nanosecond(), 713_000_000),
     (ts(123713).to_date_in_tz("Europe/Amsterdam"), dt.date(1970, 1, 2)), (ts(1).eq(ts(1)), True), (ts(1).lt(ts(2)), True),
+    (ts(123.713).to_nanos().to_second(), 123), (ts(-123.713).to_nanos().to_second(), -123), (ts(-123.713).to_nanos().subsec_nanosecond(), -713_000_000),
+    (ts(1).to_nanos().add_nanosecond(1).subsec_nanosecond(), 1), (ts(0).to_nanos().add_nanosecond(-1).to_second(), 0), (ts(0).to_nanos().add_nanosecond(-1).subsec_nanosecond(), -1),
+    (ts(0).to_nanos().add_nanosecond(-1_000_000_001).to_second(), -1), (ts(1.5).to_nanos().add_nanosecond(2_700_000_001).to_second(), 4), (ts(1.5).to_nanos().add_nanosecond(2_700_000_001).subsec_nanosecond(), 200_000_001),
+    (ts(1).to_nanos().lt(ts(1).to_nanos().add_nanosecond(1)), True), (ts(-1).to_nanos().add_nanosecond(1).gt(ts(-1).to_nanos()), True), (ts(5).to_nanos().to_micros().eq(ts(5)), True),
+    (ts(123713).to_nanos().to_date_in_tz("Europe/Amsterdam"), dt.date(1970, 1, 2)),
     (lit(D).year(), 2300), (lit(D).month(), 3), (lit(D).day(), 6), (lit(D).first_of_month(0), dt.date(2300, 3, 1)), (lit(D).first_of_month(1), dt.date(2300, 4, 1)),
     (lit(D).first_of_month(12), dt.date(2301, 3, 1)), (lit(D).first_of_month(-1), dt.date(2300, 2, 1)), (lit(D).add_day(30), dt.date(2300, 4, 5)), (lit(D).add_day(10_000_000), None),
 ]
