@@ -33,7 +33,7 @@ ORDER = 5
 MAX_NODES = 400_000
 MAX_WORDS = 200_000
 #: Distinct words and n-grams that a counting task holds before it hands them on.
-FLUSH, FLUSH_GRAMS = 400_000, 1_500_000
+FLUSH, FLUSH_GRAMS = 250_000, 1_000_000
 #: Texts whose rows a scoring task makes at a time.
 SLICE = 512
 
