@@ -7,20 +7,22 @@ that have any, to character offsets of the original.
 The benchmark travels to the workers as a broadcast, whose size is checked
 first: beyond ``max_bytes`` of benchmark text the items are split into several
 broadcasts below that size, each scans the texts in a pass of its own, and the
-passes' spans are merged per document.
+passes' spans are merged per document.  A worker holds one automaton at a time.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Benchmark text that one automaton may hold.
-MAX_BYTES = 32 << 20
+#: Benchmark text that one automaton may hold; its nodes take about 400 times as much in a worker.
+MAX_BYTES = 256 << 10
 
 #: Word characters are 0-9, a-z and everything above 0x7F; the rest separates.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -29,7 +31,7 @@ _SPAN = pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("start
 _RESULT = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(_SPAN))])
 SCHEMA = "n_words long, spans array<struct<first_word:long,end_word:long,start:long,end:long,item:long>>"
 
-_built: dict[int, ahocorasick.Automaton] = {}
+_built: dict[str, ahocorasick.Automaton | None] = {}
 
 
 def words_of(text: str | bytes | None) -> list[bytes]:
@@ -75,9 +77,10 @@ def scan(automaton: ahocorasick.Automaton | None, text: bytes | None) -> tuple[i
 
 
 def _scanner(items_broadcast, window: int):
+    key = uuid.uuid4().hex  # a worker builds the automaton once
+
     @F.arrow_udf(SCHEMA)
     def hits(texts: pa.Array) -> pa.Array:
-        key = items_broadcast.id if hasattr(items_broadcast, "id") else id(items_broadcast)
         if key not in _built:
             _built.clear()
             _built[key] = build(items_broadcast.value, window)
@@ -91,18 +94,18 @@ def _scanner(items_broadcast, window: int):
     return hits
 
 
-def _packs(benchmark: DataFrame, id_col: str, text_col: str, max_bytes: int) -> list[list[tuple[int, str]]]:
-    """Benchmark items in packs below ``max_bytes``; read one after the other, so the driver holds what it sends."""
+def _packs(benchmark: DataFrame, id_col: str, text_col: str, max_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """Benchmark items in packs below ``max_bytes``, read one after the other: the driver holds one."""
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    packs: list[list[tuple[int, str]]] = [[]]
+    pack: list[tuple[int, str]] = []
     used = 0
     for r in items.toLocalIterator():
-        if packs[-1] and used + len(r["text"]) > max_bytes:
-            packs.append([])
-            used = 0
-        packs[-1].append((r["id"], r["text"]))
+        if pack and used + len(r["text"]) > max_bytes:
+            yield pack
+            pack, used = [], 0
+        pack.append((r["id"], r["text"]))
         used += len(r["text"])
-    return packs
+    yield pack
 
 
 def decontaminate(
@@ -119,12 +122,12 @@ def decontaminate(
     replaced.
     """
     spark = docs.sparkSession
-    packs = _packs(benchmark, item_col, item_text_col, max_bytes)
     plain = docs.drop("n_words", "spans", "n_hit", "items", "contaminated")
-    out = plain
-    for i, pack in enumerate(packs):
-        out = out.withColumn(f"__hits{i}", _scanner(spark.sparkContext.broadcast(pack), window)(docs[text_col]))
-    spans = F.col("__hits0.spans") if len(packs) == 1 else F.concat(*[F.col(f"__hits{i}.spans") for i in range(len(packs))])
+    out, passes = plain, 0
+    for pack in _packs(benchmark, item_col, item_text_col, max_bytes):
+        out = out.withColumn(f"__hits{passes}", _scanner(spark.sparkContext.broadcast(pack), window)(docs[text_col]))
+        passes += 1
+    spans = F.concat(*[F.col(f"__hits{i}.spans") for i in range(passes)])
     out = out.withColumns({"n_words": F.col("__hits0.n_words"), "spans": spans})
     return out.select(
         *[c for c in plain.columns], "n_words", "spans", covered(F.col("spans")).alias("n_hit"),

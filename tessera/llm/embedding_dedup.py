@@ -29,8 +29,8 @@ from .components import connected_components
 THRESHOLD = 0.9
 #: Leading dimensions after which the bound is tested; the last stage is the whole vector.
 STAGES = (16, 32)
-#: Rows of a block at most, fewest blocks of a large table, most blocks, and rows of a tile that are multiplied at once.
-BLOCK, BLOCKS, MAX_BLOCKS, STRIPE = 32_768, 8, 4096, 512
+#: Rows and numbers of a block at most, fewest blocks of a large table, most blocks, and rows of a tile that are multiplied at once.
+BLOCK, BLOCK_VALUES, BLOCKS, MAX_BLOCKS, STRIPE = 32_768, 1 << 21, 8, 4096, 512
 
 
 def normalised(vectors: np.ndarray) -> np.ndarray:
@@ -164,7 +164,7 @@ def _links_of_width(distinct: DataFrame, width: int, n: int, threshold: float) -
     spark = distinct.sparkSession
     axes = principal_axes(distinct, width)
     shared = spark.sparkContext.broadcast(axes)
-    blocks = min(MAX_BLOCKS, max(1, min(BLOCKS, n // 256), -(-n // BLOCK)))
+    blocks = min(MAX_BLOCKS, max(1, min(BLOCKS, n // 256), -(-n // min(BLOCK, max(STRIPE, BLOCK_VALUES // max(1, width))))))
     first = [float(x) for x in axes[:, 0]]
     dot = lambda v, w: F.aggregate(F.zip_with(v, w, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
