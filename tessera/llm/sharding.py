@@ -118,12 +118,13 @@ def _at_or_above(key: int) -> Column:
 
 
 def histogram_shard(
-    docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str = "text", size: Column | None = None, tolerance: float = 0.005
+    docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str = "text", size: Column | None = None, tolerance: float = 0.01
 ) -> DataFrame:
     """``docs`` with ``shard`` (0 to ``shards - 1``) and ``slot`` (0, 1, ... in each shard, in key order).
 
-    Sizes (UTF-8 bytes plus 1 unless given) of the shards differ from their mean
-    by ``tolerance`` of it, or by one row where a row is larger than that.
+    Every cut is within ``tolerance`` of a shard's mean size (UTF-8 bytes plus 1
+    unless given), or at the nearest row where a row is larger than that; copies
+    of a text that weigh less than twice the tolerance are never parted.
     A null text is empty, a null id hashes like any value, rows that agree in id
     and text stay together, an empty table gives an empty result.  Columns named
     ``shard`` or ``slot`` are replaced, all others pass through.
