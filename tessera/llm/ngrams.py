@@ -63,7 +63,7 @@ def chunks(texts: Iterable[bytes | None], order: int) -> Iterator[tuple[np.ndarr
 class Counter:
     """Sums codes; holds at most about ``limit`` distinct ones, and a buffer, before it hands them on."""
 
-    def __init__(self, limit: int = 1 << 20, buffer: int = 1 << 21):
+    def __init__(self, limit: int = 1 << 20, buffer: int = 1 << 20):
         self.limit, self.buffer, self.parts, self.size = limit, buffer, [], 0
         self.codes, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
 

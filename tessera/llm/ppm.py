@@ -32,9 +32,11 @@ from .common import LOWER, cut
 ORDER = 5
 MAX_NODES = 400_000
 MAX_WORDS = 200_000
+#: Bytes of the longest word that is broadcast.
+LONGEST = 64
 #: Distinct words and n-grams that a counting task holds before it hands them on.
-FLUSH, FLUSH_GRAMS = 250_000, 1_000_000
-#: Texts whose rows a scoring task makes at a time.
+FLUSH, FLUSH_GRAMS = 250_000, 700_000
+#: Texts that a task works on at a time.
 SLICE = 512
 
 
@@ -183,7 +185,7 @@ def _corpus_counts(training: DataFrame, order: int) -> DataFrame:
         def give_grams(full):
             return pa.RecordBatch.from_arrays([pa.nulls(len(full[0]), pa.binary()), pa.array(full[0].view(np.int64)), pa.array(full[1])], ["word", "code", "n"])
 
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             texts = []
             for t in batch.column(0).cast(pa.binary()):
                 found = normal(t.as_py())
@@ -267,12 +269,13 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
     trie = train(counts.where(F.col("code").isNotNull()).select("code", "n"), order, max_nodes)
     least = least_count(words, max_words)
     denominator = math.log10(total + 0.5 * (distinct + 1))
-    top = words.where(F.col("n") >= least).toArrow()
+    sent = (F.col("n") >= least) & (F.octet_length("word") <= LONGEST)
+    top = words.where(sent).toArrow()
     frequent = {w: math.log10(c + 0.5) - denominator for w, c in zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)}
     shared = spark.sparkContext.broadcast((frequent, trie, denominator))
     # rows that agree in id and text are scored alike; "own" counts them
     rows = _score_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("seed"), F.coalesce(text, F.lit("")).alias("text")), order, shared, "seed")
-    rare = words.where(F.col("n") < least).select("word", F.col("n").alias("c"))
+    rare = words.where(~sent).select("word", F.col("n").alias("c"))
     found = rows.join(rare, "word", "left")
     per = F.when(F.col("times") > 0, F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - F.lit(denominator))).otherwise(F.lit(0.0))
     sums = found.groupBy("doc_id", "seed").agg(
