@@ -7,10 +7,11 @@ bytes that the longer context could have given are excluded.  As a longer
 context's bytes are a subset of the shorter one's, an exclusion is a difference
 of two sums, so whole arrays of bytes are scored at once.
 
-The escape mass of a context is its number of distinct bytes (method C) plus the
-counts of children that were pruned.  Children are pruned below the smallest
-count that leaves every level at most ``max_nodes`` of them, which bounds what is
-broadcast at any size of the corpus.
+The escape mass of a context is its number of distinct bytes (method C).  Every
+node of the trie takes part: the most frequent of the longest windows, at most
+``max_nodes``, are broadcast with their probabilities, all others are sharded and
+joined by a shuffle on the window.  Windows that the training texts lack are
+looked up as distinct codes, level by level, each only as far as it escapes.
 
 The word-level baseline of :func:`score` is exact: the most frequent words, at
 most ``max_words``, are broadcast, all others are joined by a shuffle on the word.
@@ -30,6 +31,7 @@ from . import ngrams
 from .common import LOWER, cut
 
 ORDER = 5
+#: Windows and words that are broadcast at most; the others are joined.
 MAX_NODES = 400_000
 MAX_WORDS = 200_000
 #: Bytes of the longest word that is broadcast.
@@ -41,9 +43,10 @@ SLICE = 512
 
 
 class Trie:
-    """Pretrained PPM: for k = 0 to order, kept grams with counts and contexts with (kept count, children, lost count).
+    """Pretrained PPM in memory: for k = 0 to order, kept grams with counts and contexts with (kept count, children, lost count).
 
-    Only the counts travel; tables for lookups are built where texts are scored.
+    For small models; :func:`score` finds the same by joins.  Counts of children
+    that are not given go into the escape mass.
     """
 
     def __init__(self, order: int, counted: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
@@ -127,16 +130,49 @@ def least_count(counted: DataFrame, most: int) -> int:
     return above if above is not None else 1 << 62
 
 
-def train(grams: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> Trie:
-    """Trie from (code, n); what reaches the driver is at most ``max_nodes`` rows a level."""
+def node_tables(grams: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
+    """All nodes (k, code, n) of (code, n), and contexts (k, context, kept, children, below).
+
+    ``below`` is what a context's children weigh one level down: the mass to exclude there.
+    """
     nodes = cut(ngrams.all_orders(grams, order))
-    least = max([1, *(least_count(nodes.where(F.col("k") == k), max_nodes) for k in range(order + 1))])
-    nodes = nodes.withColumn("context", ngrams.context("code"))
-    whole = nodes.groupBy("k", "context").agg(F.sum("n").alias("whole")).where(F.col("whole") >= least)
-    kept = nodes.where(F.col("n") >= least).join(whole, ["k", "context"]).select("k", "code", "n", "whole").toArrow()
-    k, code, n, w = (kept.column(i).to_numpy() for i in range(4))
-    order_by = np.argsort(code, kind="stable")
-    return Trie(order, [(code[i], n[i].astype(np.int64), w[i].astype(np.int64)) for i in (order_by[k[order_by] == level] for level in range(order + 1))])
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("k") * 8).cast("int")) - 1
+    short = nodes.select((F.col("k") + 1).alias("k"), F.col("code").alias("short"), F.col("n").alias("weight"))
+    weighed = nodes.withColumn("short", F.col("code").bitwiseAND(width)).join(short, ["k", "short"], "left")
+    contexts = weighed.groupBy("k", ngrams.context("code").alias("context")).agg(
+        F.sum("n").alias("kept"), F.count(F.lit(1)).alias("children"), F.coalesce(F.sum("weight"), F.lit(0)).alias("below")
+    )
+    return nodes, cut(contexts)
+
+
+def direct(nodes: DataFrame, contexts: DataFrame, order: int) -> DataFrame:
+    """(code, n, logp): log10 probability of every window of the longest level that the training texts have."""
+    top = contexts.where(F.col("k") == order).select("context", "kept", "children")
+    seen = nodes.where(F.col("k") == order).select("code", "n", ngrams.context("code").alias("context")).join(top, "context")
+    return cut(seen.select("code", "n", F.log10(F.col("n") / (F.col("kept") + F.col("children"))).alias("logp")))
+
+
+def escaped(codes: DataFrame, nodes: DataFrame, contexts: DataFrame, order: int) -> DataFrame:
+    """(code, logp) of the distinct windows of column ``code``, none of which the longest level has."""
+    zero = F.lit(0).cast("long")
+    left, found = codes.select("code", F.lit(0.0).alias("logp"), zero.alias("gone_mass"), zero.alias("gone_symbols")), []
+    for k in range(order, -1, -1):
+        sub = F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+        at = contexts.where(F.col("k") == k).select("context", "kept", "children", "below")
+        gram = nodes.where(F.col("k") == k).select(F.col("code").alias("gram"), "n")
+        # at most 256 ** k contexts: the few short ones would be hot keys
+        at, gram = (F.broadcast(at) if k <= 2 else at), (F.broadcast(gram) if k <= 1 else gram)
+        met = left.join(at, ngrams.context(sub) == F.col("context"), "left")
+        met = met.join(gram, sub == F.col("gram"), "left") if k < order else met.withColumn("n", F.lit(None).cast("long"))
+        mass, escape = F.col("kept") - F.col("gone_mass"), F.col("children") - F.col("gone_symbols")
+        step = F.when(F.col("n").isNotNull(), F.log10(F.col("n") / (mass + escape))).when(escape > 0, F.log10(escape / (mass + escape))).otherwise(F.lit(0.0))
+        met = cut(met.select("code", (F.col("logp") + step).alias("logp"), F.coalesce("below", "gone_mass").alias("gone_mass"), F.coalesce("children", "gone_symbols").alias("gone_symbols"), F.col("n").isNotNull().alias("hit")))
+        found.append(met.where("hit").select("code", "logp"))
+        left = met.where(~F.col("hit")).drop("hit")
+    out = left.select("code", (F.col("logp") - F.log10(256 - F.col("gone_symbols"))).alias("logp"))
+    for part in found:
+        out = out.unionByName(part)
+    return out
 
 
 def adaptive_code_length(text: bytes, order: int = ORDER) -> float:
@@ -203,15 +239,49 @@ def _corpus_counts(training: DataFrame, order: int) -> DataFrame:
     return training.mapInArrow(run, "word binary, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
 
 
+class Frequent:
+    """The broadcast windows and their log10 probabilities; the table for lookups is built where texts are scored."""
+
+    def __init__(self, codes: np.ndarray, logp: np.ndarray):
+        self.codes, self.logp, self.table = codes, logp, None
+
+    def __getstate__(self):
+        return self.codes, self.logp
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def sums(self, texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sum of each text's broadcast windows; text number, code and times of all others."""
+        if self.table is None:
+            self.table = ngrams.CodeTable(self.codes)
+        out, missed = np.zeros(len(texts)), [[], [], []]
+        for codes, owners in ngrams.chunks(texts, order):
+            number = np.repeat([i for i, _ in owners], [n for _, n in owners])
+            place = self.table.find(codes)
+            hit = place >= 0
+            out += np.bincount(number[hit], self.logp[place[hit]], len(texts))
+            number, codes = number[~hit], codes[~hit]
+            if not len(codes):
+                continue
+            by = np.lexsort((codes, number))
+            number, codes = number[by], codes[by]
+            first = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (number[1:] != number[:-1])]))
+            for to, part in zip(missed, (number[first], codes[first].view(np.int64), np.diff(np.append(first, len(codes)))), strict=True):
+                to.append(part)
+        return out, *(np.concatenate(parts) if parts else np.empty(0, np.int64) for parts in missed)
+
+
 def _score_rows(docs: DataFrame, order: int, shared, seed_col: str) -> DataFrame:
-    """A row for each text with its broadcast part, and one for each of its rare words.
+    """A row for each text with its broadcast part, and one for each of its rare words and windows.
 
     A text's own row carries a word that no text can hold (it has a blank and is
     its own), so that it finds nothing in the join and doesn't meet the others.
+    A window's row carries its code and a blank.
     """
 
     def run(batches):
-        frequent, trie, denominator = shared.value
+        frequent, windows = shared.value
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             ids, seeds = batch.column(0), batch.column(1)
             n = batch.num_rows
@@ -233,22 +303,23 @@ def _score_rows(docs: DataFrame, order: int, shared, seed_col: str) -> DataFrame
                         rows["word"].append(w)
                         rows["times"].append(times)
                 base[i] = total
-            score = ngrams.score_texts(flat, order, trie.logp, n)
-            own = pa.RecordBatch.from_arrays(
-                [ids, seeds, pa.array([f" {s}" .encode() for s in seeds.to_pylist()], pa.binary()), pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, np.int64)), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score)], _NAMES
+            score, number, codes, often = windows.sums(flat, order)
+            yield pa.RecordBatch.from_arrays(
+                [ids, seeds, pa.nulls(n, pa.int64()), pa.array([f" {s}".encode() for s in seeds.to_pylist()], pa.binary()), pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, np.int64)), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score)], _NAMES
             )
-            yield own
-            if rows["row"]:
-                at, m = pa.array(rows["row"]), len(rows["row"])
-                zeros = pa.array(np.zeros(m, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(at), seeds.take(at), pa.array(rows["word"], pa.binary()), pa.array(rows["times"], pa.int64()), zeros, zeros, zeros, pa.array(np.zeros(m)), pa.array(np.zeros(m))], _NAMES
-                )
+            for at, code, word, times in (
+                (rows["row"], None, pa.array(rows["word"], pa.binary()), rows["times"]), (number, pa.array(codes), pa.array([b" "] * len(codes), pa.binary()), often)
+            ):
+                if m := len(at):
+                    at, zeros, nothing = pa.array(at), pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m))
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(at), seeds.take(at), code or pa.nulls(m, pa.int64()), word, pa.array(times, pa.int64()), zeros, zeros, zeros, nothing, nothing], _NAMES
+                    )
 
-    return docs.select("doc_id", seed_col, "text").mapInArrow(run, "doc_id long, seed long, word binary, times long, own long, tokens long, known long, base double, score double")
+    return docs.select("doc_id", seed_col, "text").mapInArrow(run, "doc_id long, seed long, code long, word binary, times long, own long, tokens long, known long, base double, score double")
 
 
-_NAMES = ["doc_id", "seed", "word", "times", "own", "tokens", "known", "base", "score"]
+_NAMES = ["doc_id", "seed", "code", "word", "times", "own", "tokens", "known", "base", "score"]
 
 
 def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, max_nodes: int = MAX_NODES, max_words: int = MAX_WORDS) -> DataFrame:
@@ -266,22 +337,34 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
     counts = cut(_corpus_counts(docs.where(training).select(F.coalesce(text, F.lit("")).alias("text")), order))
     words = counts.where(F.col("code").isNull()).select("word", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    trie = train(counts.where(F.col("code").isNotNull()).select("code", "n"), order, max_nodes)
+    nodes, contexts = node_tables(counts.where(F.col("code").isNotNull()).select("code", "n"), order)
+    windows = direct(nodes, contexts, order)
+    often = F.col("n") >= least_count(windows, max_nodes)
+    top = windows.where(often).select("code", "logp").toArrow()
+    top = Frequent(top.column(0).to_numpy(), top.column(1).to_numpy())
     least = least_count(words, max_words)
     denominator = math.log10(total + 0.5 * (distinct + 1))
     sent = (F.col("n") >= least) & (F.octet_length("word") <= LONGEST)
-    top = words.where(sent).toArrow()
-    frequent = {w: math.log10(c + 0.5) - denominator for w, c in zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)}
-    shared = spark.sparkContext.broadcast((frequent, trie, denominator))
+    most = words.where(sent).toArrow()
+    frequent = {w: math.log10(c + 0.5) - denominator for w, c in zip(most.column(0).to_pylist(), most.column(1).to_pylist(), strict=True)}
+    shared = spark.sparkContext.broadcast((frequent, top))
     # rows that agree in id and text are scored alike; "own" counts them
-    rows = _score_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("seed"), F.coalesce(text, F.lit("")).alias("text")), order, shared, "seed")
-    rare = words.where(~sent).select("word", F.col("n").alias("c"))
-    found = rows.join(rare, "word", "left")
-    per = F.when(F.col("times") > 0, F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - F.lit(denominator))).otherwise(F.lit(0.0))
+    rows = cut(_score_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("seed"), F.coalesce(text, F.lit("")).alias("text")), order, shared, "seed"))
+    window = F.col("word") == F.lit(b" ")
+    rest = windows.where(~often).select("code", "logp")
+    unseen = rows.where(window).select("code").distinct().join(windows.select("code"), "code", "left_anti")
+    values = rest.unionByName(escaped(unseen, nodes, contexts, order))
+    # one join: a key of 64 bits, and the word that tells words and windows apart
+    key = F.coalesce("code", F.xxhash64("word")).alias("key")
+    rare = words.where(~sent).select(F.xxhash64("word").alias("key"), "word", F.col("n").alias("c"), F.lit(None).cast("double").alias("logp"))
+    rare = rare.unionByName(values.select(F.col("code").alias("key"), F.lit(b" ").alias("word"), F.lit(None).cast("long").alias("c"), "logp"))
+    found = rows.select("*", key).join(rare, ["key", "word"], "left")
+    per = F.when((F.col("times") > 0) & ~window, F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - F.lit(denominator))).otherwise(F.lit(0.0))
+    seen = F.when(window, F.col("times") * F.col("logp")).otherwise(F.lit(0.0))
     sums = found.groupBy("doc_id", "seed").agg(
         F.sum("own").alias("own"), F.sum("tokens").alias("tokens"),
         (F.sum("known") + F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(F.lit(0)))).alias("known"),
-        (F.sum("base") + F.sum(per)).alias("base"), F.sum("score").alias("score"),
+        (F.sum("base") + F.sum(per)).alias("base"), (F.sum("score") + F.sum(seen)).alias("score"),
     )
     one = lambda c: (F.col(c) / F.col("own")).cast("long")
     out = sums.select("doc_id", one("tokens").alias("n_tokens"), one("known").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") / F.col("own")).alias("base_score"), (F.col("score") / F.col("own")).alias("score"), "own")

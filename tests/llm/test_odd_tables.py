@@ -85,6 +85,32 @@ def test_ppm_is_a_distribution():
             assert p.sum() == pytest.approx(1, abs=1e-9) and (p > 0).all()
 
 
+def test_ppm_keeps_every_node(spark):
+    """Scores are those of the whole trie, however few windows are broadcast."""
+    from tessera.llm import ngrams
+
+    rows = [(i, w) for i, w in enumerate(["abracadabra banana", "banana band zebra", "a cabana bar", "", "zzz abracadabrb bananc \u00e9", "band abra", None])]
+    docs = spark.createDataFrame([*rows, rows[4]], "doc_id long, text string")
+    for order in (3, 6):
+        counter = ngrams.Counter()
+        for codes, _ in ngrams.chunks([(t or "").encode() for i, t in rows if i < 3], order):
+            counter.add(codes)
+        codes, counts = counter.take()
+        levels = []
+        for k in range(order + 1):
+            short, at = np.unique(codes & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            n = np.bincount(at, counts)
+            _, ctx = np.unique(short >> np.uint64(8), return_inverse=True)
+            levels.append((short, n, np.bincount(ctx, n)[ctx]))
+        whole = ppm.Trie(order, levels)
+        want = ngrams.score_texts([(t or "").encode() for _, t in rows], order, whole.logp, len(rows))
+        for nodes in (0, 5, 10_000):
+            got = ppm.score(docs, docs["doc_id"] < 3, order=order, max_nodes=nodes).collect()
+            assert len(got) == 8
+            for r in got:
+                assert r["score"] == pytest.approx(want[r["doc_id"]])
+
+
 def test_ppm_adaptive():
     assert ppm.adaptive_code_length(b"abab" * 200) < ppm.adaptive_code_length(bytes(range(97, 123)) * 31) < 8 * 806
     assert ppm.adaptive_code_length(b"") == pytest.approx(8)
