@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from . import ngrams
 from .common import LOWER, cut
 
-ORDER = 5
+ORDER = 6
 #: Windows and words that are broadcast at most; the others are joined.
-MAX_NODES = 400_000
+MAX_NODES = 1_000_000
 MAX_WORDS = 200_000
 #: Bytes of the longest word that is broadcast.
 LONGEST = 64

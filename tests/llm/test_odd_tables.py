@@ -89,6 +89,7 @@ def test_ppm_keeps_every_node(spark):
     """Scores are those of the whole trie, however few windows are broadcast."""
     from tessera.llm import ngrams
 
+    assert ppm.ORDER == 6
     rows = [(i, w) for i, w in enumerate(["abracadabra banana", "banana band zebra", "a cabana bar", "", "zzz abracadabrb bananc \u00e9", "band abra", None])]
     docs = spark.createDataFrame([*rows, rows[4]], "doc_id long, text string")
     for order in (3, 6):
