@@ -321,6 +321,17 @@ def test_kneser_ney_against_its_formulas(spark):
         assert got.sum() == pytest.approx(1)
 
 
+def test_kneser_ney_keeps_every_gram(spark):
+    """A model beyond the size of its table for frequent windows is the same model."""
+    from tessera.llm import ngrams
+
+    texts = ["abracadabra", "banana band", "a cabana bar", "abba"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole, small = (kneser_ney.train(docs, order=3, max_grams=n) for n in (1000, 2))
+    codes = np.concatenate([*(c for c, _ in ngrams.chunks([t.encode() for t in [*texts, "zebra cab"]], 3))])
+    assert small.logp(codes) == pytest.approx(whole.logp(codes))
+
+
 def test_ngram_chunks_see_long_texts_once(monkeypatch):
     from tessera.llm import ngrams
 
