@@ -332,6 +332,13 @@ def test_kneser_ney_keeps_every_gram(spark):
     assert small.logp(codes) == pytest.approx(whole.logp(codes))
 
 
+def test_quality_thresholds_of_rare_languages(spark):
+    """A language with a small share of the trusted texts has its own threshold, whatever the sample."""
+    rows = [(i, f"{'plain english words' if i % 10 else 'wenige deutsche saetze'} {i * 7919 % 1009}", "en" if i % 10 else "de") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(kneser_ney.fit(docs, docs.select("doc_id"), sample=20).by_language) == {"en", "de"}
+
+
 def test_ngram_chunks_see_long_texts_once(monkeypatch):
     from tessera.llm import ngrams
 
