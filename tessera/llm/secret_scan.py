@@ -4,7 +4,8 @@ The entropy scan looks at candidate strings, maximal runs of one character class
 A window moves over a run; its Shannon entropy follows from the counts of its
 characters, which change by one in and one out at each step.  Windows at or above
 the class's threshold are joined to a span.  Placeholders and other well-known
-harmless shapes are suppressed by an allow-list.
+harmless shapes are taken out of a run by an allow-list, what is around them is
+scanned; spans of letters alone need both cases mixed.
 """
 
 from __future__ import annotations
@@ -40,17 +41,18 @@ CLASSES = (
     CharClass("entropy_hex", re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{20,}(?![0-9A-Za-z])"), 20, 2.9),
     CharClass("entropy_base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.75),
 )
-#: A candidate that one of these matches is no secret.
+#: What one of these matches is no secret, nor is what touches it up to a separator, less than a window away.
 ALLOW = (
     re.compile(r"(?i)example|sample|dummy|placeholder|changeme|change_me|your[_-]|x{6,}|test[_-]?(key|token)"),
     re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"),
     re.compile(r"^[0-9]+$"),
-    re.compile(r"^[A-Za-z+/_=-]+$"),
     re.compile(r"(?i)0123456789|abcdefghij|qwertyuiop"),
     re.compile(r"^(.{1,8})\1{2,}.{0,8}$"),
 )
 _HEX_RUN = bytes(104 if b in b"0123456789abcdefABCDEF" else 32 for b in range(256))
-_DIGIT = re.compile(rb"[0-9]")
+_SEPARATOR = re.compile(r"[+/_=-]")
+#: Share of capitals that letters without digits need: random ones have a half, words and names joined by capitals few.
+CAPITALS = (0.25, 0.75)
 
 
 def hot_windows(run: str, window: int, bits: float) -> list[tuple[int, int]]:
@@ -79,6 +81,28 @@ def hot_windows(run: str, window: int, bits: float) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans]
 
 
+def stretches(run: str, window: int, allow: tuple[re.Pattern, ...]) -> list[tuple[int, int]]:
+    """The parts of ``run`` that the allow-list leaves."""
+    gone = []
+    for m in (m for pattern in allow for m in pattern.finditer(run)):
+        a, b = max(0, m.start() - window + 1), min(len(run), m.end() + window - 1)
+        before = [x.end() for x in _SEPARATOR.finditer(run, a, m.start())]
+        after = _SEPARATOR.search(run, m.end(), b)
+        gone.append((before[-1] if before else a, after.start() if after else b))
+    out, at = [], 0
+    for a, b in sorted(gone):
+        if a > at:
+            out.append((at, a))
+        at = max(at, b)
+    return [*out, (at, len(run))] if at < len(run) else out
+
+
+def mixed(value: str) -> bool:
+    """Whether ``value`` has a digit, or letters of both cases as random ones would."""
+    letters = [c for c in value if c.isalpha()]
+    return any(c.isdigit() for c in value) or CAPITALS[0] <= sum(c.isupper() for c in letters) / max(1, len(letters)) <= CAPITALS[1]
+
+
 def scan(text: bytes | None, classes: tuple[CharClass, ...] = CLASSES, allow: tuple[re.Pattern, ...] = ALLOW) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a UTF-8 text in code points, by start, then kind."""
     if not text:
@@ -94,19 +118,17 @@ def scan(text: bytes | None, classes: tuple[CharClass, ...] = CLASSES, allow: tu
         text_str = text_str or text.decode()
         found += [("hex", *m.span()) for m in HEX.finditer(text_str)]
     base = sorted((a, b) for _, a, b in found)
-    if _DIGIT.search(text):  # every candidate has digits: runs without are on the allow-list
-        text_str = text_str or text.decode()
-        taken: set[tuple[int, int]] = set()
-        for cls in classes:
-            for m in cls.pattern.finditer(text_str):
-                run = m[0]
-                if any(a.search(run) for a in allow):
-                    continue
+    text_str = text_str or text.decode()
+    taken: set[tuple[int, int]] = set()
+    for cls in classes:
+        for m in cls.pattern.finditer(text_str):
+            for start, stop in stretches(m[0], cls.window, allow):
+                run = m[0][start:stop]
                 for a, b in hot_windows(run, cls.window, cls.bits):
                     a = 0 if a < cls.window else a  # a remainder shorter than a window belongs to the secret
                     b = len(run) if len(run) - b < cls.window else b
-                    span = (m.start() + a, m.start() + b)
-                    if span not in taken and not any(x <= span[0] and span[1] <= y for x, y in base):
+                    span = (m.start() + start + a, m.start() + start + b)
+                    if mixed(run[a:b]) and span not in taken and not any(x <= span[0] and span[1] <= y for x, y in base):
                         taken.add(span)
                         found.append((cls.kind, *span))
     rank = {k: i for i, k in enumerate(KINDS)}

@@ -36,6 +36,17 @@ def test_entropy_spans_and_allow_list():
         assert secret_scan.scan(harmless) == []
 
 
+def test_allow_list_spares_what_is_around():
+    """A harmless word hides itself, not the whole run; keys of letters alone are found."""
+    key = "9fK2xLq8ZtR4vB7nM1cW6pJ3sD5gH0yTqE8uXaNz"
+    for run in (f"/srv/sample/keys/{key}", f"{key}/test_key/{key[::-1]}", f"{key}{key[::-1]}xxxxxx{key}", "qWzRtYpLkJhGfDsAxCvBnM"):
+        text = f"see {run} end"
+        spans = secret_scan.scan(text.encode())
+        assert spans and all(4 <= a < b <= 4 + len(run) and "sample" not in text[a:b] and "test_key" not in text[a:b] for _, a, b in spans)
+    for harmless in ("/srv/sample/dir/plain_words_in_lower_case", "getUserAccountInformationByIdentifier"):
+        assert secret_scan.scan(harmless.encode()) == []
+
+
 def test_entropy_is_exact():
     import math
     import random
