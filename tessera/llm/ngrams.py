@@ -11,9 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 PAD, END = 0xFE, 0xFF
 #: Bytes that are turned into codes at a time.
@@ -64,7 +61,7 @@ class Counter:
     """Sums codes; holds at most about ``limit`` distinct ones, and a buffer, before it hands them on."""
 
     def __init__(self, limit: int = 1 << 20, buffer: int = 1 << 20):
-        self.limit, self.buffer, self.parts, self.size = limit, buffer, [], 0
+        self.limit, self.buffer, self.parts, self.counted, self.size = limit, buffer, [], [], 0
         self.codes, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
 
     def add(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
@@ -75,14 +72,25 @@ class Counter:
         self._fold()
         return self.take() if len(self.codes) > self.limit else None
 
+    def add_counts(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        """Sorted codes with counts; they are added when as many as the buffer holds have come."""
+        self.counted.append((codes, counts))
+        self.size += len(codes)
+        if self.size >= max(self.buffer, len(self.codes)):
+            self._fold()
+
     def _fold(self) -> None:
-        if not self.parts:
+        if not self.parts and not self.counted:
             return
-        new, n = np.unique(np.concatenate(self.parts), return_counts=True)
-        self.parts, self.size = [], 0
-        if len(self.codes):
-            # two sorted runs: a stable sort merges them
-            new, n = np.concatenate([self.codes, new]), np.concatenate([self.counts, n])
+        given = [(self.codes, self.counts)] if len(self.codes) else []
+        if self.parts:
+            given.append(np.unique(np.concatenate(self.parts), return_counts=True))
+        given += self.counted
+        self.parts, self.counted, self.size = [], [], 0
+        new, n = given[0]
+        if len(given) > 1:
+            # sorted runs: a stable sort merges them
+            new, n = np.concatenate([g[0] for g in given]), np.concatenate([g[1] for g in given])
             order = np.argsort(new, kind="stable")
             new = new[order]
             first = np.flatnonzero(np.concatenate([[True], new[1:] != new[:-1]]))
@@ -96,31 +104,6 @@ class Counter:
         return out
 
 
-def count_codes(texts: DataFrame, order: int) -> DataFrame:
-    """(code, n) of the one text column, summed over all rows; partitions pre-aggregate."""
-
-    def run(batches):
-        counter = Counter()
-        give = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1])], ["code", "n"])
-        for batch in batches:
-            for codes, _ in chunks((t.as_py() for t in batch.column(0).cast(pa.binary())), order):
-                if full := counter.add(codes):
-                    yield give(full)
-        yield give(counter.take())
-
-    return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def all_orders(grams: DataFrame, order: int) -> DataFrame:
-    """(k, code, n): the counts of every suffix of the windows, for contexts of k = 0 to ``order`` bytes."""
-    levels = F.array(*[F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("code")) for k in range(order + 1)])
-    return grams.select("n", F.inline(levels)).groupBy("k", "code").agg(F.sum("n").alias("n"))
-
-
-def context(code: Column | str) -> Column:
-    return F.shiftrightunsigned(code, 8)
-
-
 class CodeTable:
     """Open-addressed map from codes to their places 0, 1, ..., looked up for whole arrays."""
 

@@ -9,82 +9,79 @@ of two sums, so whole arrays of bytes are scored at once.
 
 The escape mass of a context is its number of distinct bytes (method C).  Every
 node of the trie takes part: the most frequent of the longest windows, at most
-``max_nodes``, are broadcast with their probabilities, all others are sharded and
-joined by a shuffle on the window.  Windows that the training texts lack are
-looked up as distinct codes, level by level, each only as far as it escapes.
+``max_nodes``, are broadcast with their probabilities, all others are looked up in
+their shard (see :mod:`ngram_shards`), which escapes on its own as far as needed.
 
 The word-level baseline of :func:`score` is exact: the most frequent words, at
-most ``max_words``, are broadcast, all others are joined by a shuffle on the word.
+most ``max_words``, are broadcast, all others are looked up in shards of words.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter as Words
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ngram_shards as shards
 from . import ngrams
 from .common import LOWER, cut
 
 ORDER = 6
-#: Windows and words that are broadcast at most; the others are joined.
+#: Windows and words that are broadcast at most; the others are looked up in shards.
 MAX_NODES = 1_000_000
 MAX_WORDS = 200_000
-#: Bytes of the longest word that is broadcast.
-LONGEST = 64
-#: Distinct words and n-grams that a counting task holds before it hands them on.
-FLUSH, FLUSH_GRAMS = 250_000, 700_000
+#: Distinct words that a counting task holds, and words to look up that a scoring task holds, before it hands them on.
+FLUSH_WORDS = 500_000
 #: Texts that a task works on at a time.
 SLICE = 512
 
 
-class Trie:
-    """Pretrained PPM in memory: for k = 0 to order, kept grams with counts and contexts with (kept count, children, lost count).
+class Level:
+    """Grams of one length with counts; their contexts with the sum and number of children and what those weigh one level down."""
 
-    For small models; :func:`score` finds the same by joins.  Counts of children
-    that are not given go into the escape mass.
-    """
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, k: int, short: Level | None):
+        codes = codes.astype(np.uint64)
+        contexts, inverse = np.unique(codes >> np.uint64(8), return_inverse=True)
+        self.grams, self.contexts, self.counts = ngrams.CodeTable(codes), ngrams.CodeTable(contexts), counts.astype(float)
+        self.kept = np.bincount(inverse, counts, len(contexts))
+        self.children = np.bincount(inverse, minlength=len(contexts)).astype(float)
+        # the mass to exclude there
+        self.below = np.zeros(len(contexts))
+        if short is not None:
+            place = short.grams.find(codes & np.uint64((1 << 8 * k) - 1))
+            self.below = np.bincount(inverse, short.counts[place], len(contexts))
+
+
+def levels(low: list[tuple]) -> list[Level]:
+    """Levels of the shortest contexts from (grams, counts, ...)."""
+    out: list[Level] = []
+    for k, (grams, counts, *_) in enumerate(low):
+        out.append(Level(grams, counts, k, out[-1] if out else None))
+    return out
 
-    def __init__(self, order: int, counted: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """``counted``: per k the codes, their counts and the whole counts of their contexts."""
-        self.order, self.counted, self.levels, self.direct = order, counted, [], None
-
-    def __getstate__(self):
-        return self.order, self.counted
-
-    def __setstate__(self, state):
-        self.__init__(*state)
-
-    def _build(self) -> None:
-        for k, (codes, counts, whole) in enumerate(self.counted):
-            codes = codes.astype(np.uint64)
-            contexts, inverse = np.unique(codes >> np.uint64(8), return_inverse=True)
-            kept = np.bincount(inverse, counts, len(contexts))
-            children = np.bincount(inverse, minlength=len(contexts)).astype(float)
-            total = np.zeros(len(contexts))
-            total[inverse] = whole
-            below = np.zeros(len(contexts))  # what the children weigh one level down: the mass to exclude there
-            if k:
-                short = self.levels[-1]
-                place = short["grams"].find(codes & np.uint64((1 << 8 * k) - 1))
-                below = np.bincount(inverse, short["counts"][place], len(contexts))
-            self.levels.append({
-                "grams": ngrams.CodeTable(codes), "counts": counts.astype(float), "contexts": ngrams.CodeTable(contexts), "kept": kept,
-                "children": children, "lost": np.maximum(0, total - kept), "below": below,
-            })
+
+class Trie:
+    """PPM over windows with counts, and the short levels; without the latter they follow from the windows."""
+
+    def __init__(self, order: int, codes: np.ndarray, counts: np.ndarray, low: list[Level] | None = None):
+        self.order, self.levels = order, list(low or ())
+        found = [(codes, counts), *[x[:2] for x in shards.suffix_levels(codes, counts, order, len(self.levels))]]
+        for k, (grams, n) in zip(range(len(self.levels), order + 1), found[::-1], strict=True):
+            self.levels.append(Level(grams, n, k, self.levels[-1] if self.levels else None))
         top = self.levels[-1]
-        of = top["contexts"].find(self.counted[-1][0].astype(np.uint64) >> np.uint64(8))
-        self.direct = np.log10(top["counts"] / (top["kept"] + top["children"] + top["lost"])[of]) if len(of) else np.empty(0)
+        of = top.contexts.find(codes.astype(np.uint64) >> np.uint64(8))
+        self.direct = np.log10(top.counts / (top.kept + top.children)[of]) if len(of) else np.empty(0)
 
     def logp(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of every window, given the bytes before it."""
-        if self.direct is None:
-            self._build()
-        place = self.levels[-1]["grams"].find(codes)
+        place = self.levels[-1].grams.find(codes)
         out = self.direct[place] if len(self.direct) else np.zeros(len(codes))
         missed = np.flatnonzero(place < 0)
         if len(missed):
@@ -97,84 +94,25 @@ class Trie:
         gone_mass, gone_symbols = np.zeros(len(codes)), np.zeros(len(codes))
         for k in range(self.order, -1, -1):
             level = self.levels[k]
-            if not len(left) or not len(level["kept"]):
+            if not len(left) or not len(level.kept):
                 continue
             sub = codes & np.uint64((1 << 8 * (k + 1)) - 1)
-            at = level["contexts"].find(sub >> np.uint64(8))
+            at = level.contexts.find(sub >> np.uint64(8))
             known = at >= 0
-            mass = level["kept"][at] - gone_mass
-            escape = level["children"][at] - gone_symbols + level["lost"][at]
-            gram = level["grams"].find(sub)
+            mass = level.kept[at] - gone_mass
+            escape = level.children[at] - gone_symbols
+            gram = level.grams.find(sub)
             hit = known & (gram >= 0)
-            out[left[hit]] += np.log10(level["counts"][gram[hit]] / (mass[hit] + escape[hit]))
+            out[left[hit]] += np.log10(level.counts[gram[hit]] / (mass[hit] + escape[hit]))
             go = known & ~hit & (escape > 0)
             out[left[go]] += np.log10(escape[go] / (mass[go] + escape[go]))
-            gone_mass = np.where(known, level["below"][at], gone_mass)[~hit]
-            gone_symbols = np.where(known, level["children"][at], gone_symbols)[~hit]
+            gone_mass = np.where(known, level.below[at], gone_mass)[~hit]
+            gone_symbols = np.where(known, level.children[at], gone_symbols)[~hit]
             codes, left = codes[~hit], left[~hit]
         out[left] -= np.log10(256 - gone_symbols)
         return out
 
 
-def least_count(counted: DataFrame, most: int) -> int:
-    """A count ``n`` that at most ``most`` rows reach, as small as a grid of eighths of powers of two allows."""
-    step = F.floor(F.log2("n") * 8).cast("int")
-    left = most
-    above = None
-    for r in counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():
-        if r["rows"] > left:
-            break
-        left, above = left - r["rows"], r["n"]
-    else:
-        return 1
-    return above if above is not None else 1 << 62
-
-
-def node_tables(grams: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
-    """All nodes (k, code, n) of (code, n), and contexts (k, context, kept, children, below).
-
-    ``below`` is what a context's children weigh one level down: the mass to exclude there.
-    """
-    nodes = cut(ngrams.all_orders(grams, order))
-    width = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("k") * 8).cast("int")) - 1
-    short = nodes.select((F.col("k") + 1).alias("k"), F.col("code").alias("short"), F.col("n").alias("weight"))
-    weighed = nodes.withColumn("short", F.col("code").bitwiseAND(width)).join(short, ["k", "short"], "left")
-    contexts = weighed.groupBy("k", ngrams.context("code").alias("context")).agg(
-        F.sum("n").alias("kept"), F.count(F.lit(1)).alias("children"), F.coalesce(F.sum("weight"), F.lit(0)).alias("below")
-    )
-    return nodes, cut(contexts)
-
-
-def direct(nodes: DataFrame, contexts: DataFrame, order: int) -> DataFrame:
-    """(code, n, logp): log10 probability of every window of the longest level that the training texts have."""
-    top = contexts.where(F.col("k") == order).select("context", "kept", "children")
-    seen = nodes.where(F.col("k") == order).select("code", "n", ngrams.context("code").alias("context")).join(top, "context")
-    return cut(seen.select("code", "n", F.log10(F.col("n") / (F.col("kept") + F.col("children"))).alias("logp")))
-
-
-def escaped(codes: DataFrame, nodes: DataFrame, contexts: DataFrame, order: int) -> DataFrame:
-    """(code, logp) of the distinct windows of column ``code``, none of which the longest level has."""
-    zero = F.lit(0).cast("long")
-    left, found = codes.select("code", F.lit(0.0).alias("logp"), zero.alias("gone_mass"), zero.alias("gone_symbols")), []
-    for k in range(order, -1, -1):
-        sub = F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
-        at = contexts.where(F.col("k") == k).select("context", "kept", "children", "below")
-        gram = nodes.where(F.col("k") == k).select(F.col("code").alias("gram"), "n")
-        # at most 256 ** k contexts: the few short ones would be hot keys
-        at, gram = (F.broadcast(at) if k <= 2 else at), (F.broadcast(gram) if k <= 1 else gram)
-        met = left.join(at, ngrams.context(sub) == F.col("context"), "left")
-        met = met.join(gram, sub == F.col("gram"), "left") if k < order else met.withColumn("n", F.lit(None).cast("long"))
-        mass, escape = F.col("kept") - F.col("gone_mass"), F.col("children") - F.col("gone_symbols")
-        step = F.when(F.col("n").isNotNull(), F.log10(F.col("n") / (mass + escape))).when(escape > 0, F.log10(escape / (mass + escape))).otherwise(F.lit(0.0))
-        met = cut(met.select("code", (F.col("logp") + step).alias("logp"), F.coalesce("below", "gone_mass").alias("gone_mass"), F.coalesce("children", "gone_symbols").alias("gone_symbols"), F.col("n").isNotNull().alias("hit")))
-        found.append(met.where("hit").select("code", "logp"))
-        left = met.where(~F.col("hit")).drop("hit")
-    out = left.select("code", (F.col("logp") - F.log10(256 - F.col("gone_symbols"))).alias("logp"))
-    for part in found:
-        out = out.unionByName(part)
-    return out
-
-
 def adaptive_code_length(text: bytes, order: int = ORDER) -> float:
     """Bits of a text under PPM that starts empty and learns from the text itself, with exclusion, method C."""
     seen: dict[bytes, dict[int, int]] = {}
@@ -206,21 +144,20 @@ def normal(text: bytes | None) -> list[bytes]:
     return text.translate(LOWER).split() if text else []
 
 
-def _corpus_counts(training: DataFrame, order: int) -> DataFrame:
-    """(word, code, n) in one scan: words with code null, n-grams with word null; "" is the end of a text."""
+def _word_rows(words: dict[bytes, int], parts: int) -> pa.RecordBatch:
+    """Rows (shard, words, counts) of kind WORDS."""
+    at: dict[int, list[bytes]] = {}
+    for w in words:
+        at.setdefault(zlib.crc32(w) % parts, []).append(w)
+    rows = [(s, zstandard.compress(b" ".join(ws), 1), shards.pack(np.array([words[w] for w in ws], np.int64))) for s, ws in at.items()]
+    return shards.table_rows(shard=[r[0] for r in rows], kind=[shards.WORDS] * len(rows), a=[r[1] for r in rows], b=[r[2] for r in rows])
 
-    def run(batches):
-        words, grams = Words(), ngrams.Counter(FLUSH_GRAMS)
-
-        def give_words():
-            keys = list(words)
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.nulls(len(keys), pa.int64()), pa.array([words[k] for k in keys], pa.int64())], ["word", "code", "n"])
-            words.clear()
-            return out
 
-        def give_grams(full):
-            return pa.RecordBatch.from_arrays([pa.nulls(len(full[0]), pa.binary()), pa.array(full[0].view(np.int64)), pa.array(full[1])], ["word", "code", "n"])
+def _corpus_counts(training: DataFrame, order: int, parts: int) -> DataFrame:
+    """Rows of windows (kind TRIE) and of words (kind WORDS) with counts, by shard, in one scan; "" is the end of a text."""
 
+    def run(batches):
+        words, grams = Words(), shards.GramSink(order, parts)
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             texts = []
             for t in batch.column(0).cast(pa.binary()):
@@ -228,98 +165,109 @@ def _corpus_counts(training: DataFrame, order: int) -> DataFrame:
                 words.update(found)
                 words[b""] += 1
                 texts.append(b" ".join(found))
-                if len(words) > FLUSH:
-                    yield give_words()
-            for codes, _ in ngrams.chunks(texts, order):
-                if full := grams.add(codes):
-                    yield give_grams(full)
-        yield give_words()
-        yield give_grams(grams.take())
-
-    return training.mapInArrow(run, "word binary, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
-
-
-class Frequent:
-    """The broadcast windows and their log10 probabilities; the table for lookups is built where texts are scored."""
-
-    def __init__(self, codes: np.ndarray, logp: np.ndarray):
-        self.codes, self.logp, self.table = codes, logp, None
-
-    def __getstate__(self):
-        return self.codes, self.logp
-
-    def __setstate__(self, state):
-        self.__init__(*state)
-
-    def sums(self, texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sum of each text's broadcast windows; text number, code and times of all others."""
-        if self.table is None:
-            self.table = ngrams.CodeTable(self.codes)
-        out, missed = np.zeros(len(texts)), [[], [], []]
-        for codes, owners in ngrams.chunks(texts, order):
-            number = np.repeat([i for i, _ in owners], [n for _, n in owners])
-            place = self.table.find(codes)
-            hit = place >= 0
-            out += np.bincount(number[hit], self.logp[place[hit]], len(texts))
-            number, codes = number[~hit], codes[~hit]
-            if not len(codes):
-                continue
-            by = np.lexsort((codes, number))
-            number, codes = number[by], codes[by]
-            first = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (number[1:] != number[:-1])]))
-            for to, part in zip(missed, (number[first], codes[first].view(np.int64), np.diff(np.append(first, len(codes)))), strict=True):
-                to.append(part)
-        return out, *(np.concatenate(parts) if parts else np.empty(0, np.int64) for parts in missed)
+                if len(words) > FLUSH_WORDS:
+                    yield _word_rows(words, parts)
+                    words.clear()
+            yield from grams.add(texts)
+        if words:
+            yield _word_rows(words, parts)
+        yield from grams.rest()
 
+    return training.mapInArrow(run, shards._TABLE_TYPE)
 
-def _score_rows(docs: DataFrame, order: int, shared, seed_col: str) -> DataFrame:
-    """A row for each text with its broadcast part, and one for each of its rare words and windows.
 
-    A text's own row carries a word that no text can hold (it has a blank and is
-    its own), so that it finds nothing in the join and doesn't meet the others.
-    A window's row carries its code and a blank.
-    """
+def _words(parts: DataFrame) -> DataFrame:
+    """One row a shard of words: (shard, n, ways, a, b) with ``n`` tokens and ``ways`` words, and rows of kind STEPS."""
+
+    def give(shard: int, words: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+        names, counts = list(words), np.array(list(words.values()), np.int64)
+        yield shards.table_rows(shard=[shard], kind=[shards.WORDS], n=[int(counts.sum())], ways=[len(names)], a=[zstandard.compress(b" ".join(names), 1)], b=[shards.pack(counts)])
+        steps, rows = np.unique(shards.step_of(counts), return_counts=True)
+        yield shards.table_rows(shard=np.full(len(steps), shard), kind=np.full(len(steps), shards.STEPS), code=steps, n=rows)
+
+    def run(batches):
+        shard, words = None, Words()
+        for batch in batches:
+            for at, a, b in zip(batch.column("shard").to_pylist(), batch.column("a"), batch.column("b"), strict=True):
+                if at != shard and words:
+                    yield from give(shard, words)
+                    words = Words()
+                shard = at
+                for w, n in zip(zstandard.decompress(a.as_py()).split(b" "), shards.unpack(b.as_py(), np.int64).tolist(), strict=True):
+                    words[w] += n
+        if words:
+            yield from give(shard, words)
+
+    return parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, shards._TABLE_TYPE)
+
+
+def _frequent_words(table: DataFrame, least: int) -> dict[bytes, int]:
+    """Words with at least ``least`` occurrences."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                counts = shards.unpack(b.as_py(), np.int64)
+                often = np.flatnonzero(counts >= least)
+                if len(often):
+                    names = zstandard.decompress(a.as_py()).split(b" ")
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in often], pa.binary()), pa.array(counts[often])], ["w", "n"])
+
+    found = table.select("a", "b").mapInArrow(run, "w binary, n long").toArrow()
+    return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
+
+
+def _asking_rows(docs: DataFrame, order: int, parts: int, shared) -> DataFrame:
+    """Each group of texts with its broadcast sums, and rows that ask shards for its rare windows and words."""
 
     def run(batches):
-        frequent, windows = shared.value
+        often_words, often = shared.value
+        asking, own = shards.Asking(often, order, parts), []
+        names, rows, times = [], [], []
+
+        def ask_words():
+            at: dict[int, list[int]] = {}
+            for i, w in enumerate(names):
+                at.setdefault(zlib.crc32(w) % parts, []).append(i)
+            number, often_ = np.array(rows, np.uint32), np.array(times, np.uint32)
+            out = [(asking.flush, s, shards.WORDS, 1, zstandard.compress(b" ".join([names[i] for i in which]), 1), shards.pack(number[which]), shards.pack(often_[which])) for s, which in at.items()]
+            names.clear(), rows.clear(), times.clear()
+            return out
+
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            ids, seeds = batch.column(0), batch.column(1)
-            n = batch.num_rows
-            rows = {"row": [], "word": [], "times": []}
+            n, out = batch.num_rows, []
             tokens, known, base, flat = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), []
-            for i, t in enumerate(batch.column(2).cast(pa.binary())):
+            for i, t in enumerate(batch.column(1).cast(pa.binary())):
                 words = normal(t.as_py())
                 flat.append(b" ".join(words))
                 counts = Words(words)
                 counts[b""] = 1
                 tokens[i] = len(words) + 1
                 total = 0.0
-                for w, times in counts.items():
-                    if c := frequent.get(w):
-                        known[i] += times
-                        total += times * c
+                for w, many in counts.items():
+                    if c := often_words.get(w):
+                        known[i] += many
+                        total += many * c
                     else:
-                        rows["row"].append(i)
-                        rows["word"].append(w)
-                        rows["times"].append(times)
+                        names.append(w)
+                        rows.append(asking.texts + i)
+                        times.append(many)
                 base[i] = total
-            score, number, codes, often = windows.sums(flat, order)
-            yield pa.RecordBatch.from_arrays(
-                [ids, seeds, pa.nulls(n, pa.int64()), pa.array([f" {s}".encode() for s in seeds.to_pylist()], pa.binary()), pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, np.int64)), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score)], _NAMES
-            )
-            for at, code, word, times in (
-                (rows["row"], None, pa.array(rows["word"], pa.binary()), rows["times"]), (number, pa.array(codes), pa.array([b" "] * len(codes), pa.binary()), often)
-            ):
-                if m := len(at):
-                    at, zeros, nothing = pa.array(at), pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m))
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(at), seeds.take(at), code or pa.nulls(m, pa.int64()), word, pa.array(times, pa.int64()), zeros, zeros, zeros, nothing, nothing], _NAMES
-                    )
-
-    return docs.select("doc_id", seed_col, "text").mapInArrow(run, "doc_id long, seed long, code long, word binary, times long, own long, tokens long, known long, base double, score double")
-
-
-_NAMES = ["doc_id", "seed", "code", "word", "times", "own", "tokens", "known", "base", "score"]
+            score, found = asking.add(flat)
+            out += found
+            if len(names) >= FLUSH_WORDS:
+                out += ask_words()
+            own.append(pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "n_tokens", "n_known", "base_score", "score"]))
+            if asking.full:
+                out += ask_words() if names else []
+                out += asking.end(own)
+                own = []
+            if out:
+                yield shards.stream_rows(out)
+        if own:
+            yield shards.stream_rows([*(ask_words() if names else []), *asking.end(own)])
+
+    return docs.mapInArrow(run, shards._STREAM_TYPE)
 
 
 def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, max_nodes: int = MAX_NODES, max_words: int = MAX_WORDS) -> DataFrame:
@@ -327,45 +275,43 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
 
     ``training`` says which rows of ``docs`` are learned from.  Texts are
     lower-cased (A-Z) and split into words; the model's text is the words joined
-    by blanks and an end.  A null text is empty: its one token is the end.
-    Repeated rows come back as often as they are there; without training rows
-    every word is unknown and every byte uniform; an empty table gives an empty
-    result.  Other columns take no part.
+    by blanks and an end.  A null text is empty: its one token is the end.  Ids
+    of any type and null ones pass through; repeated rows come back as often as
+    they are there; without training rows every word is unknown and every byte
+    uniform; an empty table gives an empty result.  Other columns take no part.
     """
     spark = docs.sparkSession
-    text = docs[text_col]
-    counts = cut(_corpus_counts(docs.where(training).select(F.coalesce(text, F.lit("")).alias("text")), order))
-    words = counts.where(F.col("code").isNull()).select("word", "n")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    nodes, contexts = node_tables(counts.where(F.col("code").isNotNull()).select("code", "n"), order)
-    windows = direct(nodes, contexts, order)
-    often = F.col("n") >= least_count(windows, max_nodes)
-    top = windows.where(often).select("code", "logp").toArrow()
-    top = Frequent(top.column(0).to_numpy(), top.column(1).to_numpy())
-    least = least_count(words, max_words)
+    text = F.coalesce(docs[text_col], F.lit(""))
+    learned = docs.where(training).select(text.alias("text"))
+    parts = shards.shard_count(learned.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    given = cut(_corpus_counts(learned, order, parts))
+    grams = shards.counted(given.where(F.col("kind") == shards.TRIE), order, parts)
+    words = cut(_words(given.where(F.col("kind") == shards.WORDS)))
+    totals = words.groupBy("kind", F.when(F.col("kind") == shards.STEPS, F.col("code")).alias("code")).agg(F.sum("n"), F.sum("ways")).collect()
+    total, distinct = next(((r[2], r[3]) for r in totals if r["kind"] == shards.WORDS), (0, 0))
+    word_table = words.where(F.col("kind") == shards.WORDS)
+    steps = shards.Counts(order, parts, word_table, [], {}, {r["code"]: r[2] for r in totals if r["kind"] == shards.STEPS})
     denominator = math.log10(total + 0.5 * (distinct + 1))
-    sent = (F.col("n") >= least) & (F.octet_length("word") <= LONGEST)
-    most = words.where(sent).toArrow()
-    frequent = {w: math.log10(c + 0.5) - denominator for w, c in zip(most.column(0).to_pylist(), most.column(1).to_pylist(), strict=True)}
-    shared = spark.sparkContext.broadcast((frequent, top))
-    # rows that agree in id and text are scored alike; "own" counts them
-    rows = cut(_score_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("seed"), F.coalesce(text, F.lit("")).alias("text")), order, shared, "seed"))
-    window = F.col("word") == F.lit(b" ")
-    rest = windows.where(~often).select("code", "logp")
-    unseen = rows.where(window).select("code").distinct().join(windows.select("code"), "code", "left_anti")
-    values = rest.unionByName(escaped(unseen, nodes, contexts, order))
-    # one join: a key of 64 bits, and the word that tells words and windows apart
-    key = F.coalesce("code", F.xxhash64("word")).alias("key")
-    rare = words.where(~sent).select(F.xxhash64("word").alias("key"), "word", F.col("n").alias("c"), F.lit(None).cast("double").alias("logp"))
-    rare = rare.unionByName(values.select(F.col("code").alias("key"), F.lit(b" ").alias("word"), F.lit(None).cast("long").alias("c"), "logp"))
-    found = rows.select("*", key).join(rare, ["key", "word"], "left")
-    per = F.when((F.col("times") > 0) & ~window, F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - F.lit(denominator))).otherwise(F.lit(0.0))
-    seen = F.when(window, F.col("times") * F.col("logp")).otherwise(F.lit(0.0))
-    sums = found.groupBy("doc_id", "seed").agg(
-        F.sum("own").alias("own"), F.sum("tokens").alias("tokens"),
-        (F.sum("known") + F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(F.lit(0)))).alias("known"),
-        (F.sum("base") + F.sum(per)).alias("base"), (F.sum("score") + F.sum(seen)).alias("score"),
-    )
-    one = lambda c: (F.col(c) / F.col("own")).cast("long")
-    out = sums.select("doc_id", one("tokens").alias("n_tokens"), one("known").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") / F.col("own")).alias("base_score"), (F.col("score") / F.col("own")).alias("score"), "own")
-    return out.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("own")))).drop("__again", "own")
+    often_words = {w: math.log10(c + 0.5) - denominator for w, c in _frequent_words(word_table, steps.frequent_from(max_words)).items()}
+    low = spark.sparkContext.broadcast(grams.low)
+    built: list[list[Level]] = []
+
+    def model(codes: np.ndarray, counts: np.ndarray) -> Trie:
+        if not built:
+            built.append(levels(low.value))
+        return Trie(order, codes, counts, built[0])
+
+    shared = spark.sparkContext.broadcast((often_words, shards.frequent(grams, max_nodes, model)))
+    stream = _asking_rows(docs.select(docs[id_col].alias("doc_id"), text.alias("text")), order, parts, shared)
+    tables = [grams.table.withColumn("kind", F.lit(shards.WINDOWS)), word_table]
+    answers = shards.answered(stream, tables, model, lambda c: math.log10(c + 0.5) - denominator)
+
+    def finish(own: pa.Table, sums: dict[int, np.ndarray], known: np.ndarray) -> pa.Table:
+        plus = lambda name, x: pa.array(own.column(name).to_numpy() + x)
+        return pa.table({
+            "doc_id": own.column("doc_id"), "n_tokens": own.column("n_tokens"), "n_known": plus("n_known", known), "train_tokens": pa.array(np.full(own.num_rows, total or 0)),
+            "base_score": plus("base_score", sums[shards.WORDS]), "score": plus("score", sums[shards.WINDOWS]),
+        })
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return shards.summed(answers, finish, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
