@@ -1,8 +1,8 @@
 """Databases of versioned snapshots, and transactions over them.
 
-A read transaction pins a snapshot.  A writing one stages new DataFrames for the
-tables it touches, reads its own writes, and commits by writing those tables and
-one manifest; an exception leaves no trace.  One writer at a time holds the lock
+A read transaction pins a snapshot.  A writing one stages the rows it adds,
+changes or deletes, reads its own writes, and commits by writing those rows as
+new layers of their tables, and one manifest; an exception leaves no trace.  One writer at a time holds the lock
 of its process; writers of other processes meet at the manifest.
 """
 
@@ -11,8 +11,11 @@ from __future__ import annotations
 import asyncio
 import contextlib
 import datetime as dt
+import functools
+import re
 import tempfile
 import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -25,7 +28,7 @@ from ..plans.scopes import IndexScan, Query, opened
 from ..schema import Schema, SchemaError, diff, schema_hash
 
 from . import external
-from .store import CommitConflict, Store
+from .store import FAN, WHOLE, CommitConflict, Store
 
 
 class Conflict(Exception):
@@ -130,15 +133,12 @@ class Database:
             return out
         finally:
             txn.open = False
+            txn._close()
 
     def import_table(self, table: Any, df: DataFrame) -> None:
-        """Replace a table's rows by ``df``, whose columns carry the declared external names; checks keys in bulk."""
+        """Replace a table's rows by ``df``, whose columns carry the declared external names; checks what :meth:`WriteTransaction.replace_table` does."""
 
-        def run(txn: WriteTransaction) -> None:
-            txn._stage(table, external.conform(df, table))
-            txn._check_keys(table)
-
-        self.transaction_mut(run)
+        self.transaction_mut(lambda txn: txn.replace_table(table, external.conform(df, table)))
 
 
 class AsyncDatabase:
@@ -159,7 +159,7 @@ class AsyncDatabase:
 def empty_manifest(schema: Schema, version: int = 0) -> dict:
     return {
         "version": version, "schema_version": schema.version, "schema": schema.canonical(), "hash": schema_hash(schema.canonical()),
-        "tables": {t._name: {"folders": [], "next_id": 1} for t in schema.tables},
+        "tables": {t._name: {"layers": [], "next_id": 1} for t in schema.tables},
     }
 
 
@@ -196,6 +196,9 @@ class Transaction:
         self._frames: dict[Any, DataFrame] = {}
         self._iterating = 0
 
+    def _close(self) -> None:
+        pass
+
     def source(self, table: Any) -> DataFrame:
         if not self.open:
             raise RuntimeError("the transaction has ended")
@@ -204,7 +207,7 @@ class Transaction:
         if table not in self.schema.tables:
             raise SchemaError(f"{table.__name__} is not in this schema")
         if table not in self._frames:
-            self._frames[table] = self.store.load(self.manifest["tables"][table._name]["folders"], table.struct())
+            self._frames[table] = self.store.load(self.manifest["tables"][table._name]["layers"], table.struct())
         return self._frames[table]
 
     def query(self, fn: Callable[[Query], Any]) -> Any:
@@ -248,13 +251,26 @@ class Transaction:
             raise KeyError(repr(ref))
         return {k: _plain(row[k]) for k in ref.table._columns}
 
-    def spark_sql(self, sql: str) -> DataFrame:
-        """Any SQL over this snapshot's tables, by their stored names."""
-        frames = {t._name: self.source(t) for t in self.schema.tables}
-        used = {n: f for n, f in frames.items() if n in sql}
-        for n, f in used.items():
-            f.createOrReplaceTempView(n)
-        return self.spark.sql(sql)
+    def spark_sql(self, sql: str, args: dict[str, Any] | None = None) -> DataFrame:
+        """Any query over this snapshot's tables, by their stored names; ``args`` are its parameters, rows among them.
+
+        The tables are common table expressions of the query, so session views of
+        their names are neither used nor changed.
+        """
+        mine, views = uuid.uuid4().hex, []
+        for t in self.schema.tables:
+            if re.search(rf"(?i)\b{re.escape(t._name)}\b", sql):
+                views.append(t._name)
+                self.source(t).createOrReplaceTempView(f"{t._name}__{mine}")
+        tables = ", ".join(f"`{v}` AS (SELECT * FROM `{v}__{mine}`)" for v in views)
+        begin = re.match(r"(?is)\s*with\s+(recursive\s+)?", sql)
+        whole = sql if not views else f"WITH {begin[1] or ''}{tables}, {sql[begin.end():]}" if begin else f"WITH {tables} {sql}"
+        given = {k: v._row_ref().id if hasattr(v, "_row_ref") else v for k, v in (args or {}).items()}
+        try:
+            return self.spark.sql(whole, args=given or None)
+        finally:
+            for v in views:
+                self.spark.catalog.dropTempView(f"{v}__{mine}")
 
     def plan(self, fn: Callable[[Query], DataFrame]) -> str:
         """Formatted physical plan of a query that gives a DataFrame."""
@@ -318,7 +334,7 @@ class Mutable:
     def unique(self, fn: Callable[[Mutable], Any]) -> Any:
         """Change unique columns in ``fn``; a conflict or an exception undoes what ``fn`` changed."""
         self.into_table_row()
-        before, frames = dict(self._values), dict(self._txn._frames)
+        before, mark = dict(self._values), self._txn._mark()
         object.__setattr__(self, "_guard", False)
         try:
             out = fn(self)
@@ -328,21 +344,28 @@ class Mutable:
         except BaseException:
             object.__setattr__(self, "_values", before)
             self._dirty.clear()
-            self._txn._frames = frames
+            self._txn._reset(mark)
             raise
         finally:
             object.__setattr__(self, "_guard", True)
 
 
 class WriteTransaction(Transaction):
-    """Queries and writes; deletes after ``downgrade``."""
+    """Queries and writes; deletes after ``downgrade``.
+
+    A table's pending layers are (rows, keys of rows they replace or None); a
+    table that is staged as a whole has none.
+    """
 
     def __init__(self, database: Database, manifest: dict):
         super().__init__(database, manifest)
         self._next = {n: t["next_id"] for n, t in manifest["tables"].items()}
         self._new: dict[Any, list[tuple]] = {}
-        self._touched: set[Any] = set()
+        self._keys: dict[Any, dict[tuple, dict[tuple, int]]] = {}
+        self._layers: dict[Any, list[tuple[DataFrame | None, DataFrame | None]]] = {}
+        self._whole: dict[Any, str | None] = {}
         self._guards: list[Mutable] = []
+        self._scratch: list[str] = []
         self._weak = False
 
     # -- staging ------------------------------------------------------------
@@ -358,33 +381,77 @@ class WriteTransaction(Transaction):
             self._settle(t)
         return super().iterate(fn)
 
+    def _mark(self) -> tuple:
+        return dict(self._frames), {t: list(x) for t, x in self._layers.items()}, dict(self._whole)
+
+    def _reset(self, mark: tuple) -> None:
+        self._frames, self._layers, self._whole = mark
+
+    def _writes(self) -> None:
+        if self._iterating:
+            raise RuntimeError("rows are being read; the transaction takes no writes until that ends")
+
     def _settle(self, table: Any) -> None:
         """Inserted rows join the staged frame at the first read."""
         if rows := self._new.pop(table, None):
-            self._stage(table, super().source(table).unionByName(self.spark.createDataFrame(rows, table.struct())))
+            self._keys.pop(table, None)
+            self._layer(table, self.spark.createDataFrame(rows, table.struct()))
 
-    def _stage(self, table: Any, df: DataFrame) -> None:
-        if self._iterating:
-            raise RuntimeError("rows are being read; the transaction takes no writes until that ends")
+    def _stage(self, table: Any, df: DataFrame, folder: str | None = None) -> None:
+        """The whole table becomes ``df``, which ``folder`` has if it is written already."""
+        self._writes()
         self._new.pop(table, None)
+        self._keys.pop(table, None)
         self._frames[table] = df.select(*table.struct().names)
-        self._touched.add(table)
+        self._layers.pop(table, None)
+        self._whole[table] = folder
+
+    def _layer(self, table: Any, rows: DataFrame | None, gone: DataFrame | None = None) -> None:
+        """Rows are added after those with the keys ``gone`` are taken out."""
+        self._writes()
+        view, key = super().source(table), table._pk
+        if gone is not None:
+            gone = gone.select(F.col(key).cast("long").alias(key))
+            view = view.join(gone.withColumnRenamed(key, "__gone"), F.col(key) == F.col("__gone"), "left_anti")
+        rows = None if rows is None else rows.select(*table.struct().names)
+        self._frames[table] = view if rows is None else view.unionByName(rows)
+        if table in self._whole:
+            self._whole[table] = None  # what is written is no longer all
+        else:
+            self._layers.setdefault(table, []).append((rows, gone))
 
     def _commit(self) -> None:
         for m in self._guards:
             m.into_table_row()
         for t in list(self._new):
             self._settle(t)
-        if not self._touched:
-            return
         if self.database.config.check_references:
-            for t in self._touched:
-                self._check_references(t)
+            for t in {*self._layers, *self._whole}:
+                self._check_references(t, self.source(t))
         tables = {**self.manifest["tables"]}
-        for t in self._touched:
-            folder = self.store.write(t._name, self._frames[t])
-            tables[t._name] = {"folders": [folder], "next_id": self._next_id(t, peek=True)}
-        self.store.commit(self.manifest | {"tables": tables})
+        for t, folder in self._whole.items():
+            layers = [{"rows": folder or self.store.write(t._name, self._frames[t]), "level": WHOLE}]
+            tables[t._name] = {"layers": layers, "next_id": self._next_id(t, peek=True)}
+        for t, pending in self._layers.items():
+            layers = list(tables[t._name]["layers"])
+            if sum(gone is not None for _, gone in pending) > FAN:
+                layers = [{"rows": self.store.write(t._name, self._frames[t]), "level": WHOLE}]
+            else:
+                for rows, gone in _joined(pending):
+                    layer = {"rows": rows if rows is None else self.store.write(t._name, rows), "level": 0}
+                    layers.append(layer if gone is None else layer | {"gone": self.store.write(t._name, gone)})
+            tables[t._name] = {"layers": self.store.compacted(t._name, layers, t.struct()), "next_id": self._next_id(t, peek=True)}
+        if self._whole or self._layers:
+            self.store.commit(self.manifest | {"tables": tables})
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written once, so that a source that isn't repeatable is read once; it goes when the transaction ends."""
+        self._scratch.append(self.store.write("scratch", df))
+        return self.store.read_folder(self._scratch[-1], df.schema)
+
+    def _close(self) -> None:
+        for folder in self._scratch:
+            self.store.drop(folder)
 
     def _next_id(self, table: Any, n: int = 1, peek: bool = False) -> int:
         at = self._next.get(table._name, 1)
@@ -414,15 +481,15 @@ class WriteTransaction(Transaction):
     # -- inserts ------------------------------------------------------------
     def insert(self, table: Any, **values: Any) -> RowRef:
         """New row, or Conflict."""
-        if self._iterating:
-            raise RuntimeError("rows are being read; the transaction takes no writes until that ends")
+        self._writes()
         if set(values) != set(table._columns):
             raise TypeError(f"{table.__name__} has columns {sorted(table._columns)}, not {sorted(values)}")
         row = {k: self._value(table, k, v) for k, v in values.items()}
         self._check_unique(table, row)
         ref = RowRef(table, self._next_id(table), self)
         self._new.setdefault(table, []).append((ref.id, *[row[k] for k in table._columns]))
-        self._touched.add(table)
+        for unique in table._uniques:
+            self._keys.setdefault(table, {}).setdefault(unique, {})[tuple(row[c] for c in unique)] = ref.id
         return ref
 
     def insert_ok(self, table: Any, **values: Any) -> RowRef:
@@ -441,21 +508,53 @@ class WriteTransaction(Transaction):
             return taken.row
 
     def insert_many(self, table: Any, df: DataFrame) -> None:
-        """Rows of a DataFrame with the table's columns; one job checks all unique keys."""
+        """Rows of a DataFrame with the table's columns; keys, missing values and references of the new rows are checked in bulk."""
         base = self._next_id(table, 0)
-        numbered = df.select(*[F.col(c).cast(k.type.spark).alias(c) for c, k in table._columns.items()])
-        rows = with_dense_ids(numbered, table._pk, base)
-        self._next[table._name] = base + df.count()
-        self._stage(table, self.source(table).unionByName(rows))
-        self._check_keys(table)
+        kept = self._keep(df.select(*[F.col(c).cast(k.type.spark).alias(c) for c, k in table._columns.items()]))
+        rows = with_dense_ids(kept, table._pk, base)
+        self._check_rows(table, rows)
+        for unique in table._uniques:
+            there = self.source(table).select(*[F.col(c).alias(f"__{c}") for c in unique])
+            same = functools.reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__{c}") for c in unique])
+            if rows.join(there, same, "left_semi").limit(1).count():
+                raise Conflict(table)
+        self._next[table._name] = base + kept.count()
+        self.source(table)
+        self._layer(table, rows)
+
+    def replace_table(self, table: Any, df: DataFrame) -> None:
+        """All rows of a table, keys included; refused if a key repeats, a value or a referenced row is missing, or others refer to rows that go."""
+        folder = self.store.write(table._name, df)
+        rows = self.store.read_folder(folder, table.struct())
+        try:
+            if rows.groupBy(table._pk).count().where("count > 1").limit(1).count():
+                raise Conflict(table)
+            self._check_rows(table, rows)
+            self._stage(table, rows, folder)
+            for by, column in self.schema.references_to(table):
+                self._check_references(by, self.source(by), (column,))
+        except BaseException:
+            self.store.drop(folder)
+            raise
+        self._next[table._name] = max(self._next_id(table, peek=True), (rows.agg(F.max(table._pk)).first()[0] or 0) + 1)
+
+    def _check_rows(self, table: Any, rows: DataFrame) -> None:
+        """Missing values, repeated unique keys and missing references among ``rows``."""
+        sure = [table._pk, *[n for n, c in table._columns.items() if not c.type.option]]
+        missing = rows.agg(*[F.max(F.col(n).isNull()).alias(n) for n in sure]).first()
+        for n in sure:
+            if missing[n]:
+                raise TypeError(f"{table.__name__}.{n} can't be missing")
+        for unique in table._uniques:
+            if rows.groupBy(*unique).count().where("count > 1").limit(1).count():
+                raise Conflict(table)
+        self._check_references(table, rows)
 
     def _holder(self, table: Any, unique: tuple, row: dict, but: int | None) -> int | None:
-        names = list(table._columns)
-        for r in self._new.get(table, ()):
-            if r[0] != but and all(r[1 + names.index(c)] == row[c] for c in unique):
-                return r[0]
-        base = self._frames.get(table)
-        base = super().source(table) if base is None else base
+        pending = self._keys.get(table, {}).get(unique, {}).get(tuple(row[c] for c in unique))
+        if pending is not None and pending != but:
+            return pending
+        base = super().source(table)
         for c in unique:
             base = base.where(F.col(c) == F.lit(row[c]))
         found = base.where(F.col(table._pk) != (but if but is not None else -1)).select(table._pk).first()
@@ -472,12 +571,14 @@ class WriteTransaction(Transaction):
             if self.source(table).groupBy(*unique).count().where("count > 1").limit(1).count():
                 raise Conflict(table)
 
-    def _check_references(self, table: Any) -> None:
+    def _check_references(self, table: Any, rows: DataFrame, columns: tuple[str, ...] | None = None) -> None:
         for name, c in table._columns.items():
             target = c.type.table
-            if target is not None:
+            if target is not None and (columns is None or name in columns):
+                # a table may refer to itself, to rows that come with these
                 there = self.source(target).select(F.col(target._pk).alias("__there"))
-                if self.source(table).where(F.col(name).isNotNull()).join(there, F.col(name) == F.col("__there"), "left_anti").limit(1).count():
+                there = there.unionByName(rows.select(F.col(target._pk).alias("__there"))) if target is table else there
+                if rows.where(F.col(name).isNotNull()).join(there, F.col(name) == F.col("__there"), "left_anti").limit(1).count():
                     raise Referenced(target, table, name)
 
     # -- updates ------------------------------------------------------------
@@ -502,18 +603,18 @@ class WriteTransaction(Transaction):
         every = {id(g): g for g in [*guards, *[g for g in self._guards if g._ref.table is table]] if g._dirty}
         rows = [(g._ref.id, *[g._values[c] for c in table._columns]) for g in every.values()]
         new = self.spark.createDataFrame(rows, table.struct())
-        old = self.source(table)
-        # few rows, made here one by one
-        self._stage(table, old.join(F.broadcast(new.select(table._pk)), table._pk, "left_anti").unionByName(new))
+        self.source(table)
+        self._layer(table, new, new.select(table._pk))
         for g in every.values():
             g._dirty.clear()
 
     def update_where(self, table: Any, condition: Any, **values: Any) -> None:
-        """Set columns to DataFrame columns where a condition holds, in one job; unique keys are checked at the end."""
+        """Set columns to DataFrame columns where a condition holds, in one job; unique keys and references are checked at the end."""
         df = self.source(table)
         self._stage(table, df.withColumns({k: F.when(condition, v).otherwise(F.col(k)).cast(table.column(k).type.spark) for k, v in values.items()}))
         if any(k in u for u in table._uniques for k in values):
             self._check_keys(table)
+        self._check_references(table, self.source(table), tuple(values))
 
     # -- deletes ------------------------------------------------------------
     def downgrade(self) -> WriteTransaction:
@@ -532,7 +633,7 @@ class WriteTransaction(Transaction):
         df = self.source(table)
         if not df.where(F.col(table._pk) == ref.id).limit(1).count():
             return False
-        self._stage(table, df.where(F.col(table._pk) != ref.id))
+        self._layer(table, None, self.spark.range(ref.id, ref.id + 1).withColumnRenamed("id", table._pk))
         self._guards = [g for g in self._guards if g._ref != ref]
         return True
 
@@ -543,6 +644,17 @@ class WriteTransaction(Transaction):
         return self.delete(ref)
 
 
+def _joined(pending: list[tuple]) -> list[tuple]:
+    """Pending layers, those that only add rows joined with the one before."""
+    out: list[tuple] = []
+    for rows, gone in pending:
+        if gone is None and out and out[-1][0] is not None and rows is not None:
+            out[-1] = (out[-1][0].unionByName(rows), out[-1][1])
+        else:
+            out.append((rows, gone))
+    return out
+
+
 def with_dense_ids(df: DataFrame, name: str, start: int) -> DataFrame:
     """Number rows from ``start`` without bringing them together: per partition, after counting partitions."""
     from pyspark.sql import Window

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..schema import Schema, diff, schema_hash
 from . import external
-from .database import Config, Conflict, Database, Drift, WriteTransaction, empty_manifest
-from .store import Store
+from .database import Config, Conflict, Database, Drift, RowRef, WriteTransaction, empty_manifest
+from .store import WHOLE, Store
 
 
 class Step:
@@ -26,6 +26,7 @@ class Step:
     def __init__(self, migrator: Migrator, old: Schema, new: Schema):
         self._migrator, self.old, self.new = migrator, old, new
         self.frames: dict[Any, DataFrame] = {}
+        self.filled: set[Any] = set()
 
     def source(self, table: Any) -> DataFrame:
         return external.one_row(self._migrator.spark) if table is None else self._migrator.frames[table._name]
@@ -55,11 +56,16 @@ class Step:
                 raise Drift(f"{table.__name__}.{name} is new; say what it holds")
             out.append(value.cast(c.type.spark).alias(name))
         self.frames[table] = df.select(*out)
-        for unique in table._uniques:
-            if self.frames[table].groupBy(*unique).count().where("count > 1").limit(1).count():
-                raise Conflict(table)
+        self._check(table, old)
         self._migrator.dangling[table] = dangling
 
+    def _check(self, table: Any, old: Any) -> None:
+        """A Conflict names an old row whose new one takes another's key."""
+        for unique in table._uniques:
+            shared = self.frames[table].groupBy(*unique).agg(F.count(F.lit(1)).alias("__n"), F.max(table._pk).alias("__row")).where("__n > 1").first()
+            if shared:
+                raise Conflict(table, RowRef(old, shared["__row"]))
+
     def migrate_rest(self, table: Any, **columns: Any) -> None:
         """Add the old rows that earlier calls for ``table`` left out."""
         first, old = self.frames[table], table._from or self.old.table(table._name)
@@ -71,10 +77,15 @@ class Step:
         finally:
             self._migrator.frames[old._name] = kept
         self.frames[table] = first.unionByName(self.frames[table])
+        self._check(table, old)
 
     def fill(self, table: Any, df: DataFrame) -> None:
         """Rows of a new table, with the table's key and columns."""
         self.frames[table] = df.select(*[F.col(f.name).cast(f.dataType) for f in table.struct()])
+        if self.frames[table].groupBy(table._pk).count().where("count > 1").limit(1).count():
+            raise Conflict(table)
+        self._check(table, table)
+        self.filled.add(table)
 
 
 def _storage(kind: Any) -> tuple:
@@ -106,7 +117,7 @@ class Migrator:
             return None
         elif manifest["schema_version"] == schema.version and (found := diff(manifest["schema"], schema.canonical())):
             raise Drift("; ".join(found))
-        m.frames = {t._name: store.load(m.manifest["tables"].get(t._name, {"folders": []})["folders"], t.struct()) for t in schema.tables}
+        m.frames = {t._name: store.load(m.manifest["tables"].get(t._name, {"layers": []})["layers"], t.struct()) for t in schema.tables}
         return m
 
     @property
@@ -136,7 +147,9 @@ class Migrator:
         next_ids = {}
         for t in new.tables:
             old = t._from or next((o for o in self.schema.tables if o._name == t._name), None)
-            next_ids[t._name] = self.manifest["tables"].get(old._name, {"next_id": 1})["next_id"] if old else (step.frames[t].agg(F.max(t._pk)).first()[0] or 0) + 1
+            next_ids[t._name] = self.manifest["tables"].get(old._name, {"next_id": 1})["next_id"] if old else 1
+            if t in step.filled:
+                next_ids[t._name] = max(next_ids[t._name], (step.frames[t].agg(F.max(t._pk)).first()[0] or 0) + 1)
         for t in new.tables:
             for name, c in t._columns.items():
                 target = c.type.table
@@ -152,7 +165,7 @@ class Migrator:
         self.frames = {t._name: df for t, df in step.frames.items()}
         self.manifest = self.manifest | {
             "schema_version": new.version, "schema": new.canonical(), "hash": schema_hash(new.canonical()),
-            "tables": {t._name: {"folders": [], "next_id": next_ids[t._name]} for t in new.tables},
+            "tables": {t._name: {"layers": [], "next_id": next_ids[t._name]} for t in new.tables},
         }
         self.schema, self.moved, self.dangling = new, True, {}
         return self
@@ -182,6 +195,6 @@ class Migrator:
         if not self._here:
             return None
         if self.moved:
-            tables = {n: {"folders": [self.store.write(n, df)], "next_id": self.manifest["tables"][n]["next_id"]} for n, df in self.frames.items()}
+            tables = {n: {"layers": [{"rows": self.store.write(n, df), "level": WHOLE}], "next_id": self.manifest["tables"][n]["next_id"]} for n, df in self.frames.items()}
             self.store.commit(self.manifest | {"tables": tables})
         return Database(self.spark, self.schema, self.config)
