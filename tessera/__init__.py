@@ -18,6 +18,7 @@ _WHERE = {
     "sources.database": ("AsyncDatabase", "Config", "Conflict", "Database", "Drift", "Referenced", "RowRef"),
     "sources.external": ("ExternalSource", "query_one", "run_query"),
     "sources.migrate": ("Migrator",),
+    "versions": ("Versioned", "schemas"),
     "types": ("Bool", "Bytes", "Date", "F64", "I64", "Option", "String", "Timestamp", "TimestampNs"),
 }
 _MODULE = {name: module for module, names in _WHERE.items() for name in names}

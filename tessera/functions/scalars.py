@@ -167,19 +167,28 @@ SIMPLE: dict[str, Callable[..., Column]] = {
     "subsec_nanosecond": lambda t: (_micros(t) % 1_000_000) * 1000,
     "from_second": lambda n: F.timestamp_seconds(n),
     "add_nanosecond": lambda t, n: F.timestamp_micros(_micros(t) + F.call_function("div", n, F.lit(1000).cast("long"))),
-    "to_nanos": lambda t: _nanos(F.floor(_micros(t) / 1_000_000.0).cast("long"), F.pmod(_micros(t), F.lit(1_000_000)) * 1000),
-    "to_micros": lambda t: F.timestamp_micros(t["sec"] * 1_000_000 + F.floor(t["nano"] / 1000.0)),
+    "to_nanos": lambda t: _nanos(_div(_micros(t) - F.pmod(_micros(t), F.lit(1_000_000)), 1_000_000), F.pmod(_micros(t), F.lit(1_000_000)) * 1000),
+    "to_micros": lambda t: F.timestamp_micros(t["sec"] * 1_000_000 + _div(t["nano"].cast("long"), 1000)),
     "to_second_ns": lambda t: t["sec"] + ((t["sec"] < 0) & (t["nano"] > 0)).cast("long"),
     "subsec_nanosecond_ns": lambda t: t["nano"].cast("long") - F.when((t["sec"] < 0) & (t["nano"] > 0), F.lit(1_000_000_000)).otherwise(F.lit(0)).cast("long"),
     "add_nanosecond_ns": lambda t, n: _carry(t["sec"], t["nano"].cast("long") + F.pmod(n, F.lit(1_000_000_000)), n),
     "year": lambda d: F.year(d).cast("long"),
     "month": lambda d: F.month(d).cast("long"),
     "day": lambda d: F.dayofmonth(d).cast("long"),
-    "first_of_month": lambda d, i: _in_range(F.add_months(F.trunc(d, "MM"), i.cast("int"))),
-    "add_day": lambda d, n: _in_range(F.date_add(d, n.cast("int"))),
+    "first_of_month": lambda d, i: _in_range(F.add_months(F.trunc(d, "MM"), _near(i, 130_000))),
+    "add_day": lambda d, n: _in_range(F.date_add(d, _near(n, 4_000_000))),
 }
 
 
+def _div(a: Column, by: int) -> Column:
+    return F.call_function("div", a, F.lit(by).cast("long"))
+
+
+def _near(n: Column, most: int) -> Column:
+    """``n`` as an int; missing where no date is that far away."""
+    return F.when(n.between(-most, most), n.try_cast("int"))
+
+
 def _nanos(sec: Column, nano: Column) -> Column:
     return F.when(sec.isNotNull() & nano.isNotNull(), F.struct(sec.cast("long").alias("sec"), nano.cast("int").alias("nano")))
 

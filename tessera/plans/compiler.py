@@ -49,19 +49,32 @@ def _stable(node: Any) -> tuple:
     return (tuple(sorted((f.scan.number, f.column) for f in outer_fields(node))), type(node).__name__, getattr(node, "name", ""), str(getattr(node, "extra", "")))
 
 
+#: Operations that give a value whatever their arguments are, and those that give one where all arguments are values.
+#: All others can make a missing value: division by zero, results that aren't numbers, dates out of range.
+_ALWAYS = frozenset({"eq", "neq", "is_some", "is_none"})
+_KEEP = frozenset(
+    "lt lte gt gte between and or not max2 min2 add_i sub_i mul_i sign abs to_f64 floor ceil starts_with ends_with contains replace ltrim rtrim trim "
+    "glob like concat lower upper char_len byte_len to_second subsec_nanosecond to_date_in_tz year month day".split()
+)
+
+
 def _nullable(node: Any) -> bool:
-    """Whether a value may be missing, as far as types tell."""
+    """Whether a value may be missing, as far as types and operations tell."""
+    if isinstance(node, Scoped):
+        return _nullable(node.arg)
     if isinstance(node, Lit):
-        return node.value is None
+        return node.value is None or node.value != node.value
     if isinstance(node, Field):
         return node.scan.table.type_of(node.column).option
     if isinstance(node, LookupField):
         return not node.lookup.sure or node.lookup.table.type_of(node.column).option
     if isinstance(node, Op):
-        return node.name not in ("eq", "neq", "is_some", "is_none") and any(_nullable(a) for a in node.args)
+        if node.name == "unwrap_or":
+            return all(_nullable(a) for a in node.args)
+        return node.name not in _ALWAYS and (node.name not in _KEEP or any(_nullable(a) for a in node.args))
     if isinstance(node, Agg):
         return node.function in ("avg", "max", "min")
-    return False
+    return True
 
 
 class Frame:

@@ -20,13 +20,15 @@ class Column:
     """A column. ``source`` names it in external data, ``unique``/``index`` declare one-column keys.
 
     ``kind`` is a value type, a Python type, a table class, a table's name (for
-    tables declared later) or an Option of those.
+    tables declared later) or an Option of those.  ``since`` and ``until`` are
+    versions, for :mod:`tessera.versions`.
     """
 
-    def __init__(self, kind: Any, *, source: str | None = None, unique: bool = False, index: bool = False, option: bool = False):
+    def __init__(self, kind: Any, *, source: str | None = None, unique: bool = False, index: bool = False, option: bool = False, since: int | None = None, until: int | None = None):
         if isinstance(kind, type) and not getattr(kind, "_is_table", False) and kind.__module__ != "builtins" and kind.__module__ != "datetime":
             raise SchemaError(f"{kind.__name__} is no column type; use a table class or a value type")
         self.kind, self.source, self.unique, self.index, self.option = kind, source, unique, index, option
+        self.since, self.until = since, until  # versions, for declarations of several
         self.name = ""
         self.table: Any = None
 

@@ -18,6 +18,7 @@ def ts(seconds):
 
 
 D = dt.date(2300, 3, 6)
+LATE = lit(dt.datetime(9999, 12, 31, 23, 59, 58, 999_999, tzinfo=UTC))
 VECTORS = [
     (lit(1).add(2), 3), (lit(1.0).add(2.0), 3.0), (lit(1).sub(2), -1), (lit(2).mul(3), 6), (lit(5).div(3), 1), (lit(-5).div(3), -1), (lit(1.0).div(2.0), 0.5),
     (lit(5).modulo(3), 2), (lit(-5).modulo(3), -2), (lit(5).div(0), None), (lit(5.0).div(0.0), None), (lit(5).modulo(0), None), (lit(7).div(-1), -7),
@@ -53,6 +54,9 @@ VECTORS = [
     (ts(123713).to_nanos().to_date_in_tz("Europe/Amsterdam"), dt.date(1970, 1, 2)),
     (lit(D).year(), 2300), (lit(D).month(), 3), (lit(D).day(), 6), (lit(D).first_of_month(0), dt.date(2300, 3, 1)), (lit(D).first_of_month(1), dt.date(2300, 4, 1)),
     (lit(D).first_of_month(12), dt.date(2301, 3, 1)), (lit(D).first_of_month(-1), dt.date(2300, 2, 1)), (lit(D).add_day(30), dt.date(2300, 4, 5)), (lit(D).add_day(10_000_000), None),
+    (lit(D).add_day(3_000_000_000), None), (lit(D).add_day(MIN), None), (lit(D).first_of_month(3_000_000_000), None), (lit(D).first_of_month(-1_000_000), None), (lit(dt.date(9999, 12, 31)).add_day(1), None),
+    (LATE.to_nanos().to_second(), 253402300798), (LATE.to_nanos().subsec_nanosecond(), 999_999_000), (LATE.to_nanos().to_micros().eq(LATE), True),
+    (lit(5).div(0).eq(lit(1).div(0)), True), (lit(5).div(0).eq(1).not_(), True), (lit(D).add_day(4_000_000_000).eq(D), False), (lit(1.0).div(0.0).to_i64().neq(1), True), (lit(5).modulo(0).eq(lit(7).modulo(0)), True),
 ]
 
 
