@@ -882,4 +882,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
-
+from . import catalog_stored as _stored_queries  # noqa: E402, F401  (registers its queries)
