@@ -35,6 +35,8 @@ SHARED = 3
 FLUSH_GRAMS, FLUSH_REQUESTS = 1_500_000, 1_000_000
 #: Texts, and bytes of them, whose sums are put together at a time.
 FLUSH_TEXTS, FLUSH_BYTES = 8192, 1 << 25
+#: Bytes of text whose requests one copy of a shard answers; beyond that a shard's counts are there in several copies.
+PER_COPY = 1 << 24
 #: Kinds of rows.
 OWN, WINDOWS, WORDS = 10, 11, 12
 TRIE, LOW, STEPS, FEW = 0, 1, 2, 3
@@ -66,6 +68,11 @@ def shard_count(size: int) -> int:
     return max(8, math.isqrt(max(0, size) >> 16))
 
 
+def copies(size: int, shards: int) -> int:
+    """Copies of each shard's counts that so many bytes of text need."""
+    return max(1, -(-size // (shards * PER_COPY)))
+
+
 def shard_of(codes: np.ndarray, order: int, shards: int) -> np.ndarray:
     context = (codes >> np.uint64(8)) & np.uint64((1 << 8 * min(SHARED, order)) - 1)
     return (((context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
@@ -286,15 +293,17 @@ class Asking:
         return rows
 
 
-def answered(stream: DataFrame, tables: list[DataFrame], model: Callable[[np.ndarray, np.ndarray], Any], words: Callable[[int], float] | None = None) -> DataFrame:
+def answered(stream: DataFrame, tables: list[DataFrame], model: Callable[[np.ndarray, np.ndarray], Any], words: Callable[[int], float] | None = None, several: int = 1) -> DataFrame:
     """Every asking row with its answer, own rows as they are.
 
     ``tables`` have (shard, kind, a, b): windows with counts, or words with
-    counts.  ``words`` gives the value of a word's count.
+    counts, of which there are ``several`` copies.  ``words`` gives the value of a
+    word's count.
     """
-    given = [t.select(F.lit(None).cast("long").alias("flush"), "shard", "kind", F.lit(0).alias("asks"), "a", "b", F.lit(None).cast("binary").alias("c")) for t in tables]
-    for t in given:
-        stream = stream.unionByName(t)
+    stream = stream.withColumn("copy", F.pmod(F.xxhash64("flush"), F.lit(several)).cast("int"))
+    for t in tables:
+        copy = F.explode(F.sequence(F.lit(0), F.lit(several - 1))).alias("copy")
+        stream = stream.unionByName(t.select(F.lit(None).cast("long").alias("flush"), "shard", "kind", F.lit(0).alias("asks"), "a", "b", F.lit(None).cast("binary").alias("c"), copy))
 
     def reply(row: dict, state: dict) -> tuple | None:
         kind, at = row["kind"], (row["shard"], row["kind"])
@@ -342,7 +351,7 @@ def answered(stream: DataFrame, tables: list[DataFrame], model: Callable[[np.nda
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["flush", "kind", "a", "b", "c"])
 
     # a shard's counts come before the rows that ask for them
-    return stream.repartition("shard").sortWithinPartitions("shard", "kind", "asks").mapInArrow(run, "flush long, kind int, a binary, b binary, c binary")
+    return stream.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind", "asks").mapInArrow(run, "flush long, kind int, a binary, b binary, c binary")
 
 
 def summed(answers: DataFrame, finish: Callable[[pa.Table, dict[int, np.ndarray], np.ndarray], pa.Table], schema: str) -> DataFrame:

@@ -283,7 +283,8 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     text = F.coalesce(docs[text_col], F.lit(""))
     learned = docs.where(training).select(text.alias("text"))
-    parts = shards.shard_count(learned.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    size, every = docs.agg(F.sum(F.when(training, F.octet_length(text))), F.sum(F.octet_length(text))).first()
+    parts = shards.shard_count(size or 0)
     given = cut(_corpus_counts(learned, order, parts))
     grams = shards.counted(given.where(F.col("kind") == shards.TRIE), order, parts)
     words = cut(_words(given.where(F.col("kind") == shards.WORDS)))
@@ -304,7 +305,7 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
     shared = spark.sparkContext.broadcast((often_words, shards.frequent(grams, max_nodes, model)))
     stream = _asking_rows(docs.select(docs[id_col].alias("doc_id"), text.alias("text")), order, parts, shared)
     tables = [grams.table.withColumn("kind", F.lit(shards.WINDOWS)), word_table]
-    answers = shards.answered(stream, tables, model, lambda c: math.log10(c + 0.5) - denominator)
+    answers = shards.answered(stream, tables, model, lambda c: math.log10(c + 0.5) - denominator, shards.copies(every or 0, parts))
 
     def finish(own: pa.Table, sums: dict[int, np.ndarray], known: np.ndarray) -> pa.Table:
         plus = lambda name, x: pa.array(own.column(name).to_numpy() + x)

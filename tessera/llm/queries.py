@@ -83,8 +83,8 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    found = kneser_ney.classify(docs, kneser_ney.fit(docs, trusted_ids(spark, sf_dir)))
-    return found.select("doc_id", "lang", F.exp("log_perplexity").alias("perplexity"), F.exp("threshold").alias("limit"), "accepted")
+    found = kneser_ney.judge(docs, trusted_ids(spark, sf_dir))
+    return found.select(F.col("__id").alias("doc_id"), F.col("__lang").alias("lang"), F.exp("log_perplexity").alias("perplexity"), F.exp("threshold").alias("limit"), "accepted")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

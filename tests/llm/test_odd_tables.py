@@ -137,8 +137,8 @@ def test_ppm_against_brute_force(spark):
             assert len(got) == 9
             for r in got:
                 assert r["score"] == pytest.approx(want[5 if r["doc_id"] is None else r["doc_id"]])
-    named = ppm.score(docs.selectExpr("concat('n', doc_id) AS doc_id", "text"), docs["doc_id"] < 3)
-    assert {r["doc_id"] for r in named.collect()} == {None, *(f"n{i}" for i in range(7))}
+    named = docs.selectExpr("concat('n', doc_id) AS doc_id", "text")
+    assert {r["doc_id"] for r in ppm.score(named, named["doc_id"] < "n3").collect()} == {None, *(f"n{i}" for i in range(7))}
 
 
 def test_ppm_groups_and_requests(spark, monkeypatch):
