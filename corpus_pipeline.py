@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Empty, null and very short texts are kept: they hold too little to judge.
     """
-    found = kneser_ney.classify(docs, kneser_ney.fit(docs, trusted_ids(spark, sf_dir)))
+    found = kneser_ney.marked(docs, kneser_ney.judge(docs, trusted_ids(spark, sf_dir)))
     return found.where("accepted").select(*docs.columns)
 
 
