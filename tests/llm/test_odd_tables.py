@@ -234,22 +234,100 @@ def test_simhash(docs):
         assert {(r["fp"], r["component_id"]) for r in zero} == {(0, 3)}
 
 
-def test_simhash_links_in_crowded_buckets(spark):
-    """Thousands of fingerprints around one: every link is found, whichever path the bucket takes."""
+def groups_of(nodes, near):
+    """Components by brute force."""
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in nodes:
+        for b in nodes:
+            if a < b and near(a, b):
+                root[find(b)] = find(a)
+    out = {}
+    for n in nodes:
+        out.setdefault(find(n), set()).add(n)
+    return {frozenset(g) for g in out.values()}
+
+
+def components_of(nodes, edges):
+    linked = {frozenset(e) for e in edges}
+    return groups_of(nodes, lambda a, b: frozenset((a, b)) in linked)
+
+
+@pytest.mark.parametrize(("pairwise", "block"), [(1024, 4_000_000), (4, 4_000_000), (4, 60), (1024, 60)])
+def test_simhash_links_in_crowded_keys(spark, pairwise, block):
+    """Fingerprints around a few: components are those of all pairs, whichever path a key takes."""
     rng = np.random.default_rng(1)
-    base = int(rng.integers(0, 1 << 62))
-    prints = {base}
-    for _ in range(400):
-        p = base
-        for b in rng.integers(0, 64, rng.integers(1, 4)):
-            p ^= 1 << int(b)
-        prints.add(p)
-    prints = [p - (1 << 64) if p >= 1 << 63 else p for p in prints]
-    want = {(a, b) for a in prints for b in prints if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 3}
-    frame = spark.createDataFrame([(p,) for p in prints], "fp long")
-    for hot in (2, 1000):
-        got = {tuple(r) for r in simhash.links(frame, hot_key=hot).collect()}
-        assert got == want
+    prints = set()
+    for _ in range(3):
+        base = int(rng.integers(0, 1 << 62))
+        for _ in range(90):
+            p = base
+            for b in rng.integers(0, 64, rng.integers(0, 5)):
+                p ^= 1 << int(b)
+            prints.add(p)
+    signed = [p - (1 << 64) if p >= 1 << 63 else p for p in prints]
+    frame = spark.createDataFrame([(p, p) for p in signed], "node long, w0 long")
+    got = [tuple(r) for r in simhash.links(frame, bits=32, radius=3, block=block, pairwise=pairwise).collect()]
+    assert components_of(signed, got) == groups_of(signed, lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 3)
+
+
+def test_simhash_dense_group_gives_a_forest(spark):
+    """5,000 fingerprints within a few bits: every key gives at most one link a row."""
+    rng = np.random.default_rng(3)
+    prints = {0}
+    while len(prints) < 5000:
+        prints.add(int(sum(1 << int(b) for b in rng.choice(40, 3, replace=False))))
+    frame = spark.createDataFrame([(p, p) for p in prints], "node long, w0 long")
+    got = simhash.links(frame, bits=32, radius=3)
+    assert got.count() <= 34 * len(prints)
+    assert components.connected_components(got).select("component").distinct().count() == 1
+
+
+def test_simhash_crowded_links_leave_no_pair_out():
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 1 << 63, (12, 1)).astype(np.uint64)
+    prints = np.concatenate([c ^ np.array([sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 4))) for _ in range(40)], np.uint64)[:, None] for c in centres])
+    own = rng.random(len(prints)) < 0.5
+    forest = simhash.crowded_links(prints, own, 3)
+    got = {}
+    for i, r in enumerate(forest.root):
+        got.setdefault(int(r), set()).add(i)
+    want = groups_of(range(len(prints)), lambda a, b: (own[a] or own[b]) and int(prints[a, 0] ^ prints[b, 0]).bit_count() <= 3)
+    assert {frozenset(g) for g in got.values()} == want
+
+
+def test_deduplicate_many_null_ids_and_repeated_rows(spark):
+    """Rows without ids are texts of their own; equal rows count once; nothing is a product."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(1500)]
+    rows = [(None, t, "en", "a", 1) for t in texts] + [(None, texts[0], "en", "a", 1)] * 30 + [(7, "only text", "en", "a", 1)] * 5 + [(8, "only text", "en", "b", 1), (9, None, None, None, None), (None, None, None, None, None), (None, "", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = simhash.deduplicate(docs).collect()
+    assert sorted(str(r["text"]) for r in kept) == sorted([*texts, "only text", "None"])
+    assert {r["doc_id"] for r in kept} == {None, 7, 9}
+
+
+def test_deduplicate_by_similarity(spark):
+    """Texts far above a similarity of 0.8 are one, those far below are not; spaces and capitals don't matter."""
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(3000)]
+    rows, want = [], set()
+    for g in range(60):
+        base = list(rng.choice(words, 200))
+        near, far = list(base), list(base)
+        near[int(rng.integers(0, 200))] = "changed"
+        for at in rng.choice(200, 60, replace=False):
+            far[at] = f"other{at}"
+        rows += [(3 * g, " ".join(base)), (3 * g + 1, "  ".join(near).upper()), (3 * g + 2, " ".join(far))]
+        want |= {3 * g, 3 * g + 2}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} == want
 
 
 def test_components(spark):
@@ -438,6 +516,18 @@ def test_shards_with_a_hot_text(spark):
     assert len(per) == 8 and all(abs(r["b"] - mean) < 0.02 * mean and r["n"] == r["rows"] == r["m"] + 1 for r in per)
 
 
+@pytest.mark.parametrize(("run_bytes", "broadcast_runs"), [(1 << 23, 20_000), (300, 20_000), (300, 0)])
+def test_a_thousand_shards(spark, run_bytes, broadcast_runs):
+    """Cuts, runs and offsets hold for any number of shards and runs, whether their tables are broadcast or joined."""
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("a long copied text")).otherwise(F.repeat(F.lit("x"), (F.col("id") % 40).cast("int"))).alias("text"))
+    rows = rows.withColumn("__run", F.lit(1)) if run_bytes > 1000 else rows
+    got = sharding.histogram_shard(rows.drop("__run"), 1000, run_bytes=run_bytes, broadcast_runs=broadcast_runs)
+    per = got.groupBy("shard").agg(F.sum(F.octet_length("text") + 1).alias("b"), F.count_distinct("slot").alias("n"), F.max("slot").alias("m"), F.count(F.lit(1)).alias("rows")).collect()
+    total = sum(r["b"] for r in per)
+    assert len(per) == 1000 and sum(r["rows"] for r in per) == 20_000
+    assert all(abs(r["b"] - total / 1000) <= 2 * 41 and r["n"] == r["rows"] == r["m"] + 1 for r in per)
+
+
 def test_embeddings(spark):
     nan, inf = float("nan"), float("inf")
     rng = np.random.default_rng(0)
