@@ -10,10 +10,15 @@ the tolerance, or its cell holds a single row, the rows move once.
 Cuts fall between different texts where the tolerance allows it, so copies of a
 text share a shard; a group of copies too large for that is split by the ids'
 hash.
+
+What one task sorts is a run: a range of texts' hashes, or where copies of a text
+weigh more, a part of it by the ids' hash.  Runs hold about ``RUN_BYTES``; their
+number grows with the input.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,21 +28,18 @@ from .common import cut, top_bits, unsigned
 
 #: Bits of the key that the first and each later round decide.
 FIRST, STEP = 12, 8
-#: Rows that one sorted run should hold at least, and the most runs that are planned.
-RUN_ROWS, MAX_RUNS = 4096, 4000
+#: Bytes of a sorted run, and runs up to which their table of one row each is broadcast; more are joined by the rows' one exchange.
+RUN_BYTES, BROADCAST_RUNS = 8 << 20, 20_000
+#: Cuts that are searched at a time.
+FAN = 64
 _WORD = 1 << 64
 
 
-def _cell(bits: int) -> Column:
-    """Number of the cell of a 128-bit key (g, d) whose first ``bits`` bits are decided, as two columns' worth of bits."""
-    return top_bits(F.col("__g"), bits) if bits <= 64 else top_bits(F.col("__d"), bits - 64)
-
-
 class _Cut:
     """One undecided cut: the cell it lies in and the best edge met so far."""
 
     def __init__(self, goal: float):
-        self.goal, self.prefix, self.bits, self.below = goal, 0, 0, 0
+        self.goal, self.prefix, self.below = goal, 0, 0
         self.best, self.edge, self.open = math.inf, 0, True
 
     def offer(self, edge: int, bytes_below: int) -> None:
@@ -47,87 +49,93 @@ class _Cut:
 
 
 def find_cuts(digest: DataFrame, shards: int, tolerance: float) -> tuple[list[int], int]:
-    """128-bit keys of the ``shards - 1`` cuts, in order, and the number of rows.
+    """128-bit keys of the ``shards - 1`` cuts, in order, and the number of bytes.
 
     ``digest`` has ``__g``, ``__d`` (64-bit hashes) and ``__size``.  A row
     belongs at or above a cut if its key is not below it.
     """
-    rows = 0
+    total = 0
     cuts: list[_Cut] = []
-    round_no = 0
-    while round_no == 0 or any(c.open for c in cuts):
-        live = sorted({(c.prefix, c.bits) for c in cuts if c.open}) if round_no else [(0, 0)]
-        step = STEP if round_no else FIRST
-        which, cell = F.lit(None).cast("int"), F.lit(None).cast("long")
-        for i, (prefix, bits) in enumerate(live):
-            to = min(128, (64 if bits < 64 else 128), bits + step)
-            inside = F.lit(True)
-            if bits:
-                lead = prefix >> max(0, bits - 64)
-                inside = top_bits(F.col("__g"), min(bits, 64)) == F.lit(_signed(lead, min(bits, 64)))
-                if bits > 64:
-                    inside &= top_bits(F.col("__d"), bits - 64) == F.lit(_signed(prefix & ((1 << (bits - 64)) - 1), bits - 64))
-            width = to - bits
-            part = _cell(to).bitwiseAND(F.lit((1 << width) - 1))
-            which = F.when(inside, F.lit(i)).otherwise(which)
-            cell = F.when(inside, part).otherwise(cell)
-        counted = (
-            digest.select(which.alias("w"), cell.alias("c"), "__size")
-            .where(F.col("w").isNotNull())
-            .groupBy("w", "c")
-            .agg(F.sum("__size").alias("b"), F.count(F.lit(1)).alias("n"))
-            .collect()
-        )
+    bits = 0
+    while not bits or any(c.open for c in cuts):
+        # all open cuts have decided the same number of bits
+        to = min(64 if bits < 64 else 128, bits + (STEP if bits else FIRST))
+        live = sorted({c.prefix for c in cuts if c.open}) if bits else [0]
+        part = (top_bits(F.col("__g"), to) if to <= 64 else top_bits(F.col("__d"), to - 64)).bitwiseAND(F.lit((1 << (to - bits)) - 1)).alias("c")
+        rows = digest.withColumn("w", F.lit(0))
+        if bits:
+            g = lambda p: _signed(p >> max(0, bits - 64), min(bits, 64))
+            d = lambda p: _signed(p & ((1 << (bits - 64)) - 1), bits - 64) if bits > 64 else 0
+            cells = digest.sparkSession.createDataFrame([(g(p), d(p), i) for i, p in enumerate(live)], "p long, q long, w int")
+            inside = (top_bits(F.col("__g"), min(bits, 64)) == F.col("p")) & ((top_bits(F.col("__d"), bits - 64) if bits > 64 else F.lit(0).cast("long")) == F.col("q"))
+            rows = digest.join(F.broadcast(cells), inside)  # a row a cut at most
         grid: dict[int, list[tuple[int, int, int]]] = {}
-        for r in counted:
+        for r in rows.select("w", part, "__size").groupBy("w", "c").agg(F.sum("__size").alias("b"), F.count(F.lit(1)).alias("n")).collect():
             grid.setdefault(r["w"], []).append((r["c"], r["b"], r["n"]))
-        if not round_no:
-            total, rows = sum(x[1] for x in grid.get(0, [])), sum(x[2] for x in grid.get(0, []))
+        if not bits:
+            total = sum(x[1] for x in grid.get(0, []))
+            if not grid:
+                return [0] * (shards - 1), 0
             cuts = [_Cut(total * k / shards) for k in range(1, shards)]
-        slack = tolerance * max(1, total) / shards if rows else 0
+        slack = tolerance * max(1, total) / shards
+        sorted_grid = {w: sorted(cells) for w, cells in grid.items()}
+        index = {p: i for i, p in enumerate(live)}
         for c in (c for c in cuts if c.open):
-            bits = c.bits
-            to = min(128, (64 if bits < 64 else 128), bits + step)
             below, c.open = c.below, False
-            for number, b, n in sorted(grid.get(live.index((c.prefix, bits)), [])):
+            for number, b, n in sorted_grid.get(index[c.prefix], []):
                 prefix = (c.prefix << (to - bits)) | number
                 c.offer(prefix << (128 - to), below)
                 c.offer((prefix + 1) << (128 - to), below + b)
                 if below <= c.goal < below + b:
                     if c.best > slack and n > 1 and to < 128:
-                        c.prefix, c.bits, c.below, c.open = prefix, to, below, True
+                        c.prefix, c.below, c.open = prefix, below, True
                     break
                 below += b
-        round_no += 1
-        if not rows:
-            return [0] * (shards - 1), 0
-    edges = [c.edge for c in cuts]
-    return [max(edges[: i + 1]) for i in range(len(edges))], rows
+        bits = to
+    edges, most = [], 0
+    for c in cuts:
+        most = max(most, c.edge)
+        edges.append(most)
+    return edges, total
 
 
 def _signed(value: int, bits: int) -> int:
     return value - _WORD if bits == 64 and value >= 1 << 63 else value
 
 
-def _at_or_above(key: int) -> Column:
-    if key >= 1 << 128:
-        return F.lit(False)
-    g, d = unsigned(F.col("__g")), unsigned(F.col("__d"))
-    kg, kd = F.lit((key >> 64) - (1 << 63)), F.lit((key % _WORD) - (1 << 63))
-    return (g > kg) | ((g == kg) & (d >= kd))
+def shard_of(cuts: list[int]) -> Column:
+    """Number of cuts at or below a row's key."""
+
+    def known(keys: list[int]) -> Column:
+        rows = [{"g": (k >> 64) - (1 << 63), "d": k % _WORD - (1 << 63)} for k in keys]
+        return F.from_json(F.lit(json.dumps(rows)), "array<struct<g:bigint,d:bigint>>")
+
+    def reached(keys: Column) -> Column:
+        g, d = unsigned(F.col("__g")), unsigned(F.col("__d"))
+        return F.size(F.filter(keys, lambda c: (c["g"] < g) | ((c["g"] == g) & (c["d"] <= d))))
+
+    inner = [c for c in cuts if c < 1 << 128]  # no row lies at or above the others
+    if not inner:
+        return F.lit(0)
+    if len(inner) <= FAN:
+        return reached(known(inner))
+    group = F.greatest(F.lit(0), reached(known(inner[::FAN])) - 1)
+    return group * FAN + reached(F.slice(known(inner), group * FAN + 1, F.lit(FAN)))
 
 
 def histogram_shard(
-    docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str = "text", size: Column | None = None, tolerance: float = 0.01
+    docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str = "text", size: Column | None = None, tolerance: float = 0.01, run_bytes: int = RUN_BYTES, broadcast_runs: int = BROADCAST_RUNS
 ) -> DataFrame:
-    """``docs`` with ``shard`` (0 to ``shards - 1``) and ``slot`` (0, 1, ... in each shard, in key order).
+    """``docs`` with ``shard`` (0 to ``shards - 1``) and ``slot`` (0, 1, ... in each shard).
 
     Every cut is within ``tolerance`` of a shard's mean size (UTF-8 bytes plus 1
     unless given), or at the nearest row where a row is larger than that; copies
-    of a text that weigh less than twice the tolerance are never parted.
-    A null text is empty, a null id hashes like any value, rows that agree in id
-    and text stay together, an empty table gives an empty result.  Columns named
-    ``shard`` or ``slot`` are replaced, all others pass through.
+    of a text that weigh less than twice the tolerance are never parted.  Slots
+    follow the order of the texts' hashes, within a run too large for one task
+    that of the ids' hashes first.  A null text is empty, a null id hashes like
+    any value, rows that agree in id and text stay together, an empty table gives
+    an empty result.  Columns named ``shard`` or ``slot`` are replaced, all others
+    pass through.
     """
     size = F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).cast("long") + 1 if size is None else size
     keyed = docs.drop("shard", "slot") if {"shard", "slot"} & set(docs.columns) else docs
@@ -135,26 +143,28 @@ def histogram_shard(
         {"__size": size, "__g": F.xxhash64(F.coalesce(docs[text_col], F.lit(""))), "__d": F.xxhash64(docs[id_col].cast("string"), F.lit("id"))}
     )
     digest = cut(keyed.select("__g", "__d", "__size"))
-    cuts, rows = find_cuts(digest, shards, tolerance)
-
-    target = max(RUN_ROWS, -(-rows // MAX_RUNS))
-    bits = max(0, (max(1, rows // target) - 1).bit_length())
-    above = [_at_or_above(k).cast("int") for k in cuts]
-    placed = {"shard": sum(above[1:], above[0]) if above else F.lit(0), "__run": top_bits(F.col("__g"), bits)}
-    runs = digest.select("__g", "__d", placed["shard"].alias("shard"), placed["__run"].alias("__run"))
-    # runs that a group of copies overfills are split by the ids' hash; there are at most rows / target of them
-    hot = runs.groupBy("shard", "__run").count().where(F.col("count") > 2 * target).select(
-        "shard", "__run", F.least(F.lit(16), F.ceil(F.log2(F.col("count") / target))).cast("int").alias("__more")
-    )
-    hot = F.broadcast(cut(hot))
-    sub = F.when(F.col("__more").isNull(), F.lit(0).cast("long")).otherwise(F.shiftrightunsigned("__d", 48).cast("int").cast("long") % F.pow(F.lit(2), F.col("__more")).cast("long"))
-    where = ["shard", "__run", "__sub"]
-    sized = runs.join(hot, ["shard", "__run"], "left").select("shard", "__run", sub.alias("__sub")).groupBy(*where).count()
-    offsets = cut(
-        sized.select(*where, (F.sum("count").over(Window.partitionBy("shard").orderBy("__run", "__sub")) - F.col("count")).alias("__offset"))
+    cuts, total = find_cuts(digest, shards, tolerance)
+
+    bits = max(0, total // run_bytes).bit_length()
+    placed = {"__shard": shard_of(cuts), "__run": top_bits(F.col("__g"), bits)}
+    runs = digest.withColumns(placed)
+    # runs that copies of a text overfill are split by the ids' hash; of those there are fewer than runs
+    hot = runs.groupBy("__shard", "__run").agg(F.sum("__size").alias("b")).where(F.col("b") > 2 * run_bytes).select(
+        "__shard", "__run", F.ceil(F.log2(F.col("b") / run_bytes)).cast("int").alias("__more")
     )
-    moved = keyed.withColumns(placed).join(hot, ["shard", "__run"], "left").withColumn("__sub", sub)
-    moved = moved.join(F.broadcast(offsets), where, "left")
+    hot = _small(cut(hot), broadcast_runs)
+    sub = F.when(F.col("__more").isNull(), F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(__d, 64 - __more)"))
+    where = ["__shard", "__run", "__sub"]
+    sized = runs.join(hot, ["__shard", "__run"], "left").select("__shard", "__run", sub.alias("__sub")).groupBy(*where).count()
+    offsets = cut(sized.select(*where, (F.sum("count").over(Window.partitionBy("__shard").orderBy("__run", "__sub")) - F.col("count")).alias("__offset")))
+    moved = keyed.withColumns(placed).join(hot, ["__shard", "__run"], "left").withColumn("__sub", sub)
+    # the join's keys are the runs' own, so it needs no other exchange than they do
+    moved = moved.join(_small(offsets, broadcast_runs), where, "left")
     order = Window.partitionBy(*where).orderBy("__g", "__d", docs[id_col])
     out = moved.withColumn("slot", F.col("__offset") + F.row_number().over(order) - 1)
-    return out.select(*[c for c in docs.columns if c not in ("shard", "slot")], F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
+    return out.select(*[c for c in docs.columns if c not in ("shard", "slot")], F.col("__shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
+
+
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """Broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
