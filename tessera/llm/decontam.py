@@ -1,13 +1,18 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-The automaton holds every window of normalised benchmark words; a text is
-normalised and scanned once.  Matches are mapped back to words and, for texts
-that have any, to character offsets of the original.
-
-The benchmark travels to the workers as a broadcast, whose size is checked
-first: beyond ``max_bytes`` of benchmark text the items are split into several
-broadcasts below that size, each scans the texts in a pass of its own, and the
-passes' spans are merged per document.  A worker holds one automaton at a time.
+Texts and items become numbers of normalised words.  Every window of an item
+holds one of the item's blocks, which begin at every ``window // 2`` words and are
+as long; the automaton's patterns are these blocks, and whole items shorter than
+a window.  A text is scanned once.  Where a block is found, the windows around it
+are looked up by a rolling hash and compared word by word.  Matches are mapped
+back to words and, for texts that have any, to character offsets of the original.
+
+Blocks over word numbers take about one node a word of the benchmark, where all
+windows over characters would take some hundred.  The benchmark travels to the
+workers as a broadcast, whose size is checked first: beyond ``max_bytes`` of
+benchmark text the items are split into several broadcasts below that size, each
+scans the texts in a pass of its own, and the passes' spans are merged per
+document.  A worker holds one automaton at a time.
 """
 
 from __future__ import annotations
@@ -17,21 +22,22 @@ import uuid
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Benchmark text that one automaton may hold; its nodes take about 400 times as much in a worker.
-MAX_BYTES = 256 << 10
+#: Benchmark text that one automaton may hold; a worker takes about 30 times as much.
+MAX_BYTES = 32 << 20
 
 #: Word characters are 0-9, a-z and everything above 0x7F; the rest separates.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _ORIGINAL_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_SPAN = pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("item", pa.int64())])
+_SPAN = pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("item", pa.string())])
 _RESULT = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(_SPAN))])
-SCHEMA = "n_words long, spans array<struct<first_word:long,end_word:long,start:long,end:long,item:long>>"
+SCHEMA = "n_words long, spans array<struct<first_word:long,end_word:long,start:long,end:long,item:string>>"
 
-_built: dict[str, ahocorasick.Automaton | None] = {}
+_built: dict[str, Index] = {}
 
 
 def words_of(text: str | bytes | None) -> list[bytes]:
@@ -41,39 +47,90 @@ def words_of(text: str | bytes | None) -> list[bytes]:
     return (text.encode() if isinstance(text, str) else text).translate(_TABLE).split()
 
 
-def build(items: list[tuple[int, str]], window: int) -> ahocorasick.Automaton | None:
-    """Automaton over " w1 ... wn " for every window of every item; its values are (words, items)."""
-    owners: dict[bytes, tuple[int, set[int]]] = {}
-    for item, text in items:
+def _hashes(words: np.ndarray, window: int, odd: int) -> np.ndarray:
+    """Hash of every ``window`` words."""
+    n = max(0, len(words) - window + 1)
+    out = np.zeros(n, np.uint64)
+    for j in range(window):
+        out = (out * np.uint64(odd)) ^ (words[j : j + n].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        out ^= out >> np.uint64(29)
+    return out
+
+
+class Index:
+    """The automaton of (item, text) pairs and the windows around its blocks."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int):
+        self.window, self.block = window, max(1, window // 2)
+        self.items, self.words = [], {}
+        parts, patterns = [], {}  # pattern: [whether it is a block, items that are no longer]
+        for item, text in items:
+            found = words_of(text)
+            if not found:
+                continue
+            ids = [self.words.setdefault(w, len(self.words) + 1) for w in found]
+            self.items.append(item)
+            parts.append(np.array(ids, np.int32))
+            if len(ids) < window:
+                patterns.setdefault(tuple(ids), [False, []])[1].append(len(self.items) - 1)
+                continue
+            for at in range(0, len(ids) - self.block + 1, self.block):
+                patterns.setdefault(tuple(ids[at : at + self.block]), [False, []])[0] = True
+        self.stream = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        sizes = np.array([len(p) for p in parts], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        # places of all whole windows, and their items
+        many = np.maximum(0, sizes - window + 1)
+        owner = np.repeat(np.arange(len(parts), dtype=np.int32), many)
+        place = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        self.odd = 0x100000001B3
+        while True:
+            every = _hashes(self.stream, window, self.odd)
+            hashes = every[place] if len(place) else np.empty(0, np.uint64)
+            order = np.lexsort((owner, hashes))
+            self.hashes, self.place, self.owner = hashes[order], place[order], owner[order]
+            same = np.flatnonzero(self.hashes[1:] == self.hashes[:-1])
+            if all((self.stream[self.place[same] + j] == self.stream[self.place[same + 1] + j]).all() for j in range(window)):
+                break
+            self.odd += 2  # two windows share a hash: another one
+        self.automaton = None
+        if patterns:
+            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for key, (block, short) in patterns.items():
+                self.automaton.add_word(key, (len(key), block, sorted({self.items[i] for i in short})))
+            self.automaton.make_automaton()
+
+    def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, int, int, int, str]]]:
+        """Number of words, and (first word, end word, start, end, item) of every occurrence of a window."""
         words = words_of(text)
-        size = min(window, len(words))
-        for i in range(len(words) - size + 1 if size else 0):
-            owners.setdefault(b" ".join(words[i : i + size]), (size, set()))[1].add(item)
-    if not owners:
-        return None
-    automaton = ahocorasick.Automaton()
-    for key, (size, who) in owners.items():
-        automaton.add_word(f" {key.decode()} ", (size, sorted(who)))
-    automaton.make_automaton()
-    return automaton
-
-
-def scan(automaton: ahocorasick.Automaton | None, text: bytes | None) -> tuple[int, list[tuple[int, int, int, int, int]]]:
-    """Number of words, and (first word, end word, start, end, item) of every occurrence of a window."""
-    words = words_of(text)
-    if not words or automaton is None:
-        return len(words), []
-    flat = " " + b" ".join(words).decode() + " "
-    found, at, seen = [], 0, 0
-    for end, (size, who) in automaton.iter(flat):
-        # blanks up to the end of a match are words up to it plus one; counted on from the last match
-        seen += flat.count(" ", at, end + 1)
-        at = end + 1
-        found += [(seen - 1 - size, seen - 1, item) for item in who]
-    if not found:
-        return len(words), []
-    offsets = [m.span() for m in _ORIGINAL_WORD.finditer(text.decode())]
-    return len(words), [(a, b, offsets[a][0], offsets[b - 1][1], item) for a, b, item in found]
+        if not words or self.automaton is None:
+            return len(words), []
+        number = self.words.get
+        ids = tuple([number(w, 0) for w in words])
+        found, near = [], []
+        for end, (size, block, short) in self.automaton.iter(ids):
+            if block:
+                near.append(end + 1 - size)
+            found += [(end + 1 - size, end + 1, item) for item in short]
+        if near and len(ids) >= self.window:
+            array = np.array(ids, np.int32)
+            # windows that hold a found block
+            reach = np.array(near)[:, None] - np.arange(self.window - self.block + 1)
+            starts = np.unique(reach[(reach >= 0) & (reach <= len(ids) - self.window)])
+            hashes = _hashes(array, self.window, self.odd)[starts]
+            at = np.searchsorted(self.hashes, hashes)
+            to = np.searchsorted(self.hashes, hashes, "right")
+            hit = np.flatnonzero(to > at)
+            starts, at, to = starts[hit], at[hit], to[hit]
+            equal = np.ones(len(starts), bool)
+            for j in range(self.window):
+                equal &= array[starts + j] == self.stream[self.place[at] + j]
+            for s, a, b in zip(starts[equal].tolist(), at[equal].tolist(), to[equal].tolist(), strict=True):
+                found += [(s, s + self.window, item) for item in dict.fromkeys(self.items[i] for i in self.owner[a:b])]
+        if not found:
+            return len(words), []
+        offsets = [m.span() for m in _ORIGINAL_WORD.finditer(text.decode())]
+        return len(words), [(a, b, offsets[a][0], offsets[b - 1][1], item) for a, b, item in found]
 
 
 def _scanner(items_broadcast, window: int):
@@ -83,28 +140,29 @@ def _scanner(items_broadcast, window: int):
     def hits(texts: pa.Array) -> pa.Array:
         if key not in _built:
             _built.clear()
-            _built[key] = build(items_broadcast.value, window)
-        automaton = _built[key]
+            _built[key] = Index(items_broadcast.value, window)
+        index = _built[key]
         out = []
         for text in texts.cast(pa.binary()):
-            n, spans = scan(automaton, text.as_py())
+            n, spans = index.scan(text.as_py())
             out.append({"n_words": n, "spans": [dict(zip(("first_word", "end_word", "start", "end", "item"), s, strict=True)) for s in spans]})
         return pa.array(out, _RESULT)
 
     return hits
 
 
-def _packs(benchmark: DataFrame, id_col: str, text_col: str, max_bytes: int) -> Iterator[list[tuple[int, str]]]:
+def _packs(benchmark: DataFrame, id_col: str, text_col: str, max_bytes: int) -> Iterator[list[tuple[str, str]]]:
     """Benchmark items in packs below ``max_bytes``, read one after the other: the driver holds one."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    pack: list[tuple[int, str]] = []
+    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    pack: list[tuple[str, str]] = []
     used = 0
     for r in items.toLocalIterator():
-        if pack and used + len(r["text"]) > max_bytes:
+        size = len(r["text"].encode())
+        if pack and used + size > max_bytes:
             yield pack
             pack, used = [], 0
         pack.append((r["id"], r["text"]))
-        used += len(r["text"])
+        used += size
     yield pack
 
 
@@ -115,7 +173,7 @@ def decontaminate(
 
     ``spans`` lists every occurrence of a window: its words, its character
     offsets in the original text (end exclusive) and the item.  ``n_hit`` counts
-    words inside any; ``items`` are the items' ids, sorted as strings.  A null
+    words inside any; ``items`` are the items' ids as strings, sorted.  A null
     text has no words; items with a null id or without words are no items;
     repeated items share their windows; empty tables give empty results, an empty
     benchmark leaves every text clean.  Existing columns of these names are
@@ -131,7 +189,7 @@ def decontaminate(
     out = out.withColumns({"n_words": F.col("__hits0.n_words"), "spans": spans})
     return out.select(
         *[c for c in plain.columns], "n_words", "spans", covered(F.col("spans")).alias("n_hit"),
-        F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item"].cast("string")))).alias("items"),
+        F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item"]))).alias("items"),
         (F.size("spans") > 0).alias("contaminated"),
     )
 
