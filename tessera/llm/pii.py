@@ -1,13 +1,14 @@
 """Personal data: fixed rules and bootstrapped contextual extraction, with DataFrame functions only.
 
 Rules find emails, IP addresses, card and phone numbers.  Their finds are the
-seeds of a bootstrap: the word before a seed and the seed's shape form a lexical
-pattern, patterns and the identifiers they occur with form a bipartite graph,
-and scores flow through it a fixed number of times: a pattern is as reliable as
-the identifiers it meets, an identifier as likely as any of its patterns says.
-Identifiers that no rule covers but reliable patterns introduce are reported as
-kind "context".  All sums count distinct identifiers, so copies of a text add
-nothing.
+seeds of a bootstrap: the word before a seed is a lexical pattern, patterns and
+the identifiers they introduce form a bipartite graph, and scores flow through it
+a fixed number of times: a pattern is as reliable as the identifiers it meets, an
+identifier as likely as any of its patterns says.  What is believed nearly surely
+counts as a seed from then on, so that identifiers of a kind that no rule knows
+bring patterns of their own.  Identifiers that no rule covers but reliable
+patterns introduce are reported as kind "context".  All sums count distinct
+identifiers, so copies of a text add nothing.
 
 Match positions come from two arrays, the text between the matches and the
 matches; both engines' passes run only where a cheap test found a character that
@@ -29,10 +30,14 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
-#: A word with a digit and the word before it, if that has none of the match before.
-_CANDIDATE = r"(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++)?(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+"
-#: Digits an identifier needs, rounds of scoring, distinct seeds a pattern needs, and the score to report at.
-MIN_DIGITS, ROUNDS, MIN_SEEDS, ACCEPT = 5, 3, 3, 0.8
+#: A word with a digit or "@", the groups of digits that go on after it, and the word before it, if that has none of the match before.
+_CANDIDATE = (
+    r"(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++)?(?<![^\x20\x09-\x0D])[^0-9@\x20\x09-\x0D]*+[0-9@][^\x20\x09-\x0D]*+"
+    r"(?:(?<=[0-9)])\x20[0-9(][0-9().-]*+(?![^\x20\x09-\x0D]))*+"
+)
+#: Digits an identifier without "@" needs, rounds of scoring, distinct seeds a pattern needs, the belief that makes a seed,
+#: the one to report at, and characters above which an identifier is told by its hash.
+MIN_DIGITS, ROUNDS, MIN_SEEDS, PROMOTE, ACCEPT, LONG = 5, 6, 3, 0.85, 0.8, 64
 
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -40,19 +45,38 @@ _SPAN = "array<struct<start:int,end:int,value:string>>"
 def find_all(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of the leftmost non-overlapping matches, in code points.
 
-    Every match and the text before it are walked once; sums of lengths are offsets.
+    Every match and the text before it are walked once; sums of lengths are
+    offsets.  They are walked in about as many parts as a part has matches, as
+    an array that grows is copied at each step.
     """
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(F.transform(between, lambda x: F.length(x)), found, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    none = F.array().cast(_SPAN)
+    size = lambda x: F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x))).cast("int"))
 
     def step(acc, s):
         start = acc["at"] + s["gap"]
         end = start + F.length(s["value"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), s["value"].alias("value")))).alias("out"))
 
-    # the last piece has no match after it
-    return F.aggregate(F.filter(steps, lambda s: s["value"].isNotNull()), empty, step, lambda acc: acc["out"])
+    def part(acc, steps):
+        done = F.aggregate(steps, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
+
+    def bound(value, use):
+        """``use`` of a value that is computed once: what a lambda is given is not computed again where it is read."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def spans(steps):
+        parts = F.transform(F.sequence(F.lit(0), F.size(steps) - 1, size(steps)), lambda at: F.slice(steps, at + 1, size(steps)))
+        empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+        return F.aggregate(parts, empty, part, lambda acc: F.flatten(acc["out"]))
+
+    def walked(found):
+        # the last piece has no match after it
+        between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        steps = F.zip_with(F.transform(between, lambda x: F.length(x)), found, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
+        return F.when(F.size(found) > 0, bound(steps, spans)).otherwise(none)
+
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), walked)
 
 
 def _digits(c: Column) -> Column:
@@ -74,64 +98,63 @@ def rule_spans(text: Column) -> dict[str, Column]:
 
 
 def _candidates(text: Column) -> Column:
-    """Array of (start, end, value, left, shape): words with digits, stripped of punctuation at both ends."""
+    """Array of (start, end, value, left): identifiers stripped of punctuation at both ends, and the letters of the word before."""
 
     def one(s):
-        left = F.regexp_replace(ascii_lower(F.regexp_extract(s["value"], r"^([^\x20\x09-\x0D]*)[\x20\x09-\x0D]", 1)), r"[\x00-\x60\x7B-\x7F]", "")
-        word = F.regexp_extract(s["value"], r"([^\x20\x09-\x0D]+)$", 1)
+        left = F.regexp_replace(ascii_lower(F.regexp_extract(s["value"], r"^([^0-9@\x20\x09-\x0D]*)[\x20\x09-\x0D]", 1)), r"[\x00-\x60\x7B-\x7F]", "")
+        word = F.regexp_extract(s["value"], r"^(?:[^0-9@\x20\x09-\x0D]*[\x20\x09-\x0D]+)?(.+)$", 1)
         tail = F.length(F.regexp_extract(word, r"([^0-9A-Za-z]*)$", 1))
         core = F.regexp_replace(F.regexp_replace(word, r"[^0-9A-Za-z]+$", ""), r"^[^0-9A-Za-z+]+", "")
         end = s["end"] - tail
-        shape = F.regexp_replace(F.regexp_replace(core, "[A-Za-z]+", "a"), "[0-9]", "9")
-        return F.struct((end - F.length(core)).alias("start"), end.alias("end"), core.alias("value"), left.alias("left"), shape.alias("shape"))
+        return F.struct((end - F.length(core)).alias("start"), end.alias("end"), core.alias("value"), left.alias("left"))
 
     found = F.transform(find_all(text, _CANDIDATE), one)
-    ok = lambda c: (F.length(_digits(c["value"])) >= MIN_DIGITS) & (F.length(c["value"]) <= 64)
-    none = F.array().cast("array<struct<start:int,end:int,value:string,left:string,shape:string>>")
-    return F.coalesce(F.when(text.rlike("[0-9]"), F.filter(found, ok)), none)
+    ok = lambda c: (F.length(_digits(c["value"])) >= MIN_DIGITS) | c["value"].contains("@")
+    none = F.array().cast("array<struct<start:int,end:int,value:string,left:string>>")
+    return F.coalesce(F.when(text.rlike("[0-9@]"), F.filter(found, ok)), none)
 
 
-def score_graph(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """(left, shape, value, belief) of every edge (left, shape, value, seed) after ``rounds`` of scoring.
+def score_graph(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, promote: float = PROMOTE) -> DataFrame:
+    """(value, seed, belief) of the identifiers of edges (left, value, seed) after ``rounds`` of scoring.
 
-    A pattern's score is the mean belief of its distinct identifiers, each
-    smoothed by one doubtful one, and 0 with fewer than ``min_seeds`` seeds among
-    them; an identifier that is no seed is believed at one minus the product of
-    its patterns' doubts.  Scores stay in log form, so both are plain sums.
+    A pattern's score is the mean belief of its distinct identifiers, together
+    with one doubtful one, and 0 with fewer than ``min_seeds`` identifiers among
+    them that are seeds or believed at ``promote``; an identifier that is no seed
+    is believed at one minus the product of its patterns' doubts.  Scores stay in
+    log form, so both are plain sums.
     """
-    beliefs = edges.groupBy("value").agg(F.max("seed").alias("seed")).withColumn("belief", F.col("seed").cast("double"))
-    beliefs = cut(beliefs)
-    scored = None
+    beliefs = cut(edges.groupBy("value").agg(F.max("seed").alias("seed")).withColumn("belief", F.col("seed").cast("double")))
     for _ in range(rounds):
-        weighed = edges.select("left", "shape", "value").join(beliefs, "value")
-        patterns = weighed.groupBy("left", "shape").agg(F.sum("belief").alias("sum"), F.count(F.lit(1)).alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        patterns = patterns.select("left", "shape", F.when(F.col("seeds") >= min_seeds, F.col("sum") / (F.col("n") + 1)).otherwise(F.lit(0.0)).alias("score"))
-        scored = weighed.drop("belief").join(patterns, ["left", "shape"])
-        doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))
-        beliefs = cut(scored.groupBy("value").agg(F.max("seed").alias("seed"), (1 - doubt).alias("b")).select("value", "seed", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("b")).alias("belief")))
-    return edges.join(beliefs.select("value", "belief"), "value")
+        weighed = edges.select("left", "value").join(beliefs, "value")
+        sure = F.sum((F.col("belief") >= promote).cast("int"))
+        patterns = weighed.groupBy("left").agg(F.when(sure >= min_seeds, F.sum("belief") / (F.count(F.lit(1)) + 1)).otherwise(F.lit(0.0)).alias("score")).where(F.col("score") > 0)
+        doubt = edges.select("left", "value").join(patterns, "left").groupBy("value").agg(F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score"))))).alias("doubt"))
+        belief = F.when(F.col("seed"), F.lit(1.0)).otherwise(1 - F.coalesce("doubt", F.lit(1.0)))
+        beliefs = cut(beliefs.drop("belief").join(doubt, "value", "left").select("value", "seed", belief.alias("belief")))
+    return beliefs
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
     """One row a document: doc_id, email, ip, card, phone, context, each an array of (start, end, value).
 
     Offsets are code points, the end exclusive.  ``context`` has identifiers that
-    overlap no rule's find, believed at ``accept`` or more.  A null or empty text
-    has no finds, repeated rows stay, an empty table gives an empty result, other
-    columns take no part.
+    overlap no rule's find, believed at ``accept`` or more, wherever they occur.
+    A null or empty text has no finds, repeated rows stay, an empty table gives an
+    empty result, other columns take no part.
     """
     text = docs[text_col]
     rules = rule_spans(text)
     rows = docs.select(docs[id_col].alias("doc_id"), *[c.alias(k) for k, c in rules.items()], _candidates(text).alias("__found"))
     rows = cut(rows.withColumn("__row", F.monotonically_increasing_id()))
     base = F.concat(*[F.col(k) for k in KINDS])
-    some = rows.where(F.size("__found") > 0).select("__row", base.alias("__base"), F.explode("__found").alias("c"))
-    hits = lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start"))
-    seen = cut(some.select("__row", "c.*", F.exists("__base", hits).alias("seed")))
-    edges = seen.groupBy("left", "shape", "value").agg(F.max("seed").alias("seed")).where(F.col("left") != "")
-    believed = score_graph(edges).where((F.col("belief") >= accept) & ~F.col("seed")).select("value", "left", "shape")
-    new = seen.where(~F.col("seed")).join(believed, ["value", "left", "shape"], "left_semi")
-    extra = new.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("context"))
+    hits = lambda c: F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+    tagged = F.transform("__found", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("text"), c["left"].alias("left"), hits(c).alias("seed")))
+    key = F.when(F.length("text") <= LONG, F.col("text")).otherwise(F.concat(F.lit("#"), F.sha2("text", 256)))
+    seen = rows.where(F.size("__found") > 0).select("__row", F.inline(tagged)).withColumn("value", key)
+    edges = cut(seen.groupBy("left", "value").agg(F.max("seed").alias("seed")).where(F.col("left") != ""))
+    believed = score_graph(edges).where((F.col("belief") >= accept) & ~F.col("seed")).select("value")
+    new = seen.where(~F.col("seed")).join(believed, "value", "left_semi")
+    extra = new.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("text").alias("value")))).alias("context"))
     out = rows.join(extra, "__row", "left")
     return out.select("doc_id", *KINDS, F.coalesce("context", F.array().cast(_SPAN)).alias("context"))
 

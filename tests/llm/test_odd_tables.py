@@ -399,6 +399,37 @@ def test_pii_context(spark):
     assert all(len(got[i]["card"]) == 1 and not got[i]["context"] for i in range(12))
 
 
+def test_pii_finds_kinds_that_no_rule_knows(spark):
+    """Patterns learned from rules' finds discover numbers of another shape; those bring patterns of their own."""
+    def card(n):
+        body = f"4{n:014d}"
+        return next(body + str(d) for d in range(10) if luhn(body + str(d)))
+
+    ssn = [f"{100 + i}-{10 + i}-{1000 + 37 * i}" for i in range(20)]
+    rows = [(i, f"member {card(i * 7919)} joined") for i in range(60)]
+    rows += [(100 + i, f"member {s} joined") for i, s in enumerate(ssn[:12])]  # found by a pattern of the rules
+    rows += [(200 + i, f"social: {s} on file") for i, s in enumerate(ssn[:12])]  # which makes a pattern
+    rows += [(300 + i, f"social {s} on file") for i, s in enumerate(ssn[12:16])]  # that finds others
+    rows += [(400 + i, f"page {30000 + i} of it") for i in range(8)] + [(500, "member 4111 1111 1111 1112 joined"), (501, "member " + "9" * 100)]
+    got = {r["doc_id"]: [s["value"] for s in r["context"]] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[100 + i] == [s] for i, s in enumerate(ssn[:12]))
+    assert all(got[300 + i] == [s] for i, s in enumerate(ssn[12:16]))
+    assert not any(got[400 + i] for i in range(8))
+    assert got[500] == ["4111 1111 1111 1112"] and got[501] == ["9" * 100]
+
+
+def test_pii_of_a_long_table_of_numbers(spark):
+    """Tens of thousands of matches in one text take seconds."""
+    import time
+
+    text = " ".join(f"{i}.{i % 256}.3.4" for i in range(50_000))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    (row,) = pii.find_personal_data(frame).select(F.size("ip").alias("n"), F.element_at("ip", -1).alias("last")).collect()
+    assert row["n"] == 256 and text[row["last"]["start"] : row["last"]["end"]] == row["last"]["value"]
+    assert time.time() - began < 60
+
+
 def test_quality(spark, docs):
     trusted = spark.createDataFrame([(1,), (None,), (2,), (2,), (99,)], "doc_id long")
     rows = kneser_ney.classify(docs, kneser_ney.fit(docs, trusted)).collect()
