@@ -20,38 +20,53 @@ from pyspark.sql import functions as F
 
 from .common import cut, word_count
 
-#: Rows a cell of the two-level sum should hold, and the most cells of a source.
-CELL_ROWS, MAX_CELLS = 2048, 1 << 16
+#: Rows a cell of the two-level sum should hold.
+CELL_ROWS = 2048
 #: Sources whose table of one row each is broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
+#: Most rows that are broadcast because they are there very often.
+REPEATED = 10_000
 #: Rates at times 0, 1/2 and 1 by weight 1, 2, 3: light sources early, heavy ones late.
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
 
 
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with ``rank``, 0, 1, ... in this order, by sorted partitions and the counts of their rows."""
+    rows = cut(df.orderBy(*order)).withColumn("__at", F.monotonically_increasing_id())
+    part = F.shiftright("__at", 33)
+    sizes = rows.groupBy(part.alias("p")).count().orderBy("p").collect()  # a row a partition
+    before, starts = 0, []
+    for r in sizes:
+        starts.append((r["p"], before))
+        before += r["count"]
+    known = df.sparkSession.createDataFrame(starts, "__part long, __before long")
+    joined = rows.join(F.broadcast(known), part == F.col("__part"))
+    return joined.select(*df.columns, (F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).alias("rank"))
+
+
 def source_targets(sizes: DataFrame, *, limit: float = 3.0) -> DataFrame:
-    """``(source, source_size, weight, target)`` from rows ``(source, size)``.
+    """``(source, source_size, source_rows, weight, target)`` from rows ``(source, size)``.
 
     Sources by code point, null last, weigh 1, 2, 3, repeating.  All of the
     words are shared by weight; a target stops at ``limit`` times its source's
     size and the excess is shared among the rest by weight until none is above.
-    Sorted by (limit / weight), the stopped sources are a prefix, so one running
-    sum gives the level that all others reach.  One row a source goes through
-    the two unpartitioned windows here, never the documents.
+    Each round of sharing is one sum over the sources; the level only rises, so
+    the rounds end, after a few.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source")))
-    per = per.withColumn("weight", ((rank - 1) % 3 + 1).cast("int"))
-    every = Window.partitionBy()
-    before = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").isNull(), F.col("source")).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("source_size").over(every) - limit * F.coalesce(F.sum("source_size").over(before), F.lit(0))
-    weights = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    per = per.withColumn("__level", left / weights)
-    fits = F.col("__level") * F.col("weight") <= limit * F.col("source_size")
-    level = F.max(F.when(fits, F.col("__level"))).over(every)
-    return per.select(
-        "source", "source_size", "source_rows", "weight",
-        F.coalesce(F.least(level * F.col("weight"), limit * F.col("source_size")), F.lit(0.0)).alias("target"),
-    )
+    per = ranked(per, F.col("source").isNull(), F.col("source"))
+    per = cut(per.select("source", "source_size", "source_rows", (F.col("rank") % 3 + 1).cast("int").alias("weight")))
+    level, stopped = None, -1
+    while True:
+        over = F.lit(False) if level is None else F.col("weight") * F.lit(level) > F.lit(limit) * F.col("source_size")
+        row = per.agg(
+            F.sum("source_size").alias("all"), F.sum(F.when(over, F.lit(limit) * F.col("source_size")).otherwise(F.lit(0.0))).alias("taken"),
+            F.sum(F.when(over, F.lit(0)).otherwise(F.col("weight"))).alias("left"), F.sum(over.cast("long")).alias("stopped"),
+        ).first()
+        if not row["left"] or row["stopped"] == stopped:
+            break
+        level, stopped = (row["all"] - row["taken"]) / row["left"], row["stopped"]
+    return per.withColumn("target", F.least(F.lit(level or 0.0) * F.col("weight"), F.lit(limit) * F.col("source_size")))
 
 
 def position_at(share: Column, rates: Column) -> Column:
@@ -86,7 +101,7 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def _plan(base: DataFrame, limit: int, schedules) -> DataFrame:
     targets = cut(source_targets(base, limit=limit))
-    cells = F.least(F.lit(MAX_CELLS), F.greatest(F.lit(1), F.ceil(F.col("source_rows") / CELL_ROWS))).cast("long")
+    cells = F.greatest(F.lit(1), F.ceil(F.col("source_rows") / CELL_ROWS)).cast("long")
     named = targets.withColumn("__cells", cells).withColumn("__key", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))))
     named = named.drop("source")
     # a join by source alone would bring a hot source's rows to one task
@@ -124,17 +139,29 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Columns are those of ``docs``.
     """
+    id_, source = docs[id_col].cast("string"), docs[source_col]
+    # rows that agree in id, source and text are interchangeable
     tagged = docs.withColumns({
-        "__h": F.xxhash64(F.coalesce(docs[id_col].cast("string"), F.lit("")), F.lit("mix"), F.xxhash64(docs[text_col])),
+        "__h": F.xxhash64(F.coalesce(id_, F.lit("")), F.lit("mix"), F.xxhash64(docs[text_col]), source, source.isNull()),
         "__size": word_count(docs[text_col]),
     })
-    base = cut(tagged.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), F.col("__size").alias("size"), "__h"))
-    plan = _plan(base, limit, schedules).where(F.col("copies") > 0)
-    # rows that agree in id, source and text are interchangeable: their copies are dealt to one of them as a list
-    dealt = plan.groupBy("__h", "source").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__same"), F.min("__from").alias("__from"), F.first("__rates").alias("__rates"), F.first("source_size").alias("__total"), F.first("target").alias("__target"))
-    twin = tagged.join(dealt.withColumnRenamed("source", "__source"), (tagged["__h"] == dealt["__h"]) & tagged[source_col].eqNullSafe(F.col("__source"))).drop(dealt["__h"])
-    each = F.ceil(F.col("__copies") / F.col("__same")).cast("int")
-    twin = twin.where(each > 0).withColumn("__copy", F.explode(F.sequence(F.lit(0), each - 1)))
-    share = F.when(F.col("__target") > 0, F.least(F.lit(1.0), (F.col("__from") + F.col("__copy") * F.col("__total")) / F.col("__target"))).otherwise(F.lit(0.0))
-    twin = twin.withColumn("__position", position_at(share, F.col("__rates")))
-    return twin.orderBy("__position", "__h", "__copy").select(*docs.columns)
+    base = cut(tagged.select(docs[id_col].alias("doc_id"), source.alias("source"), F.col("__size").alias("size"), "__h"))
+    plan = _plan(base, limit, schedules)
+    dealt = plan.groupBy(F.col("__h").alias("__twin")).agg(
+        F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__same"), F.min("__from").alias("__from"), F.first("__rates").alias("__rates"),
+        F.first("source_size").alias("__total"), F.first("target").alias("__target"),
+    ).where(F.col("__copies") > 0)
+    dealt = cut(dealt)
+    # rows that are there very often are taken out without gathering them; there are REPEATED such rows at most
+    often = F.col("__same") > max(1000, base.count() // REPEATED)
+    one = tagged.join(dealt.where(~often), F.col("__h") == F.col("__twin"))
+    # the first of equal rows takes all copies; the join has brought them together
+    one = one.withColumn("__n", F.row_number().over(Window.partitionBy("__h").orderBy(F.lit(0)))).where(F.col("__n") == 1).drop("__n")
+    if not dealt.where(often).isEmpty():
+        one = one.unionByName(tagged.join(F.broadcast(dealt.where(often)), F.col("__h") == F.col("__twin")).dropDuplicates(["__h"]))
+    one = one.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
+    # where equal rows are several, their copies are spread over the passes as a single row's would be
+    at = F.col("__from") + F.floor(F.col("__copy") / F.col("__same")) * F.col("__total")
+    share = F.when(F.col("__target") > 0, F.least(F.lit(1.0), at / F.col("__target"))).otherwise(F.lit(0.0))
+    one = one.withColumn("__position", position_at(share, F.col("__rates")))
+    return one.orderBy("__position", "__h", "__copy").select(*docs.columns)

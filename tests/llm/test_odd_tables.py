@@ -184,6 +184,49 @@ def test_mix_nulls_are_a_source(odd):
     assert {r["source_size"] for r in rows if r["source"] is None} == {15} and {r["size"] for r in rows if r["doc_id"] == 3} == {0}
 
 
+def brute_targets(sizes, limit=3):
+    """Targets by the rule's words: share, stop those above their limit, share again."""
+    weight = {s: k % 3 + 1 for k, s in enumerate(sorted(sizes))}
+    full, total = set(), sum(sizes.values())
+    while True:
+        left, w = total - sum(limit * sizes[s] for s in full), sum(weight[s] for s in sizes if s not in full)
+        want = {s: float(limit * sizes[s]) if s in full else left * weight[s] / w for s in sizes}
+        over = {s for s in sizes if s not in full and want[s] > limit * sizes[s]}
+        if not over:
+            return want
+        full |= over
+
+
+def test_mix_targets_of_many_sources(spark):
+    """Thousands of sources of very different sizes, some of them empty."""
+    rng = np.random.default_rng(8)
+    sizes = {f"s{i:05d}": int(x) for i, x in enumerate(rng.pareto(0.8, 3000) * 10)}
+    rows = spark.createDataFrame([(s, n // 2 + k * (n % 2)) for s, n in sizes.items() for k in (0, 1)], "source string, size long").repartition(7)
+    got = {r["source"]: r["target"] for r in mixing.source_targets(rows).collect()}
+    want = brute_targets(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
+def test_mixed_documents_are_as_planned(spark):
+    """Every document comes out as often as the plan takes it, equal rows too, in the order of positions."""
+    from collections import Counter
+
+    rows = [(i, f"text {i} " + "w " * (i % 17), "en", ("a", "b", None, "c")[i % 4], 1) for i in range(400)]
+    rows += [(1, "text 1 again and again", "en", "b", 1)] * 50 + [(None, "no id", "en", "a", 1)] * 2500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.mixed_documents(docs).collect()
+    planned = Counter()
+    for r in mixing.plan_mix(docs).collect():
+        planned[r["source"]] += r["taken"]
+    words = Counter()
+    for r in out:
+        words[r["source"]] += len(r["text"].split())
+    targets = {r["source"]: (r["target"], max(len(t.split()) for _, t, _, s, _ in rows if s == r["source"])) for r in mixing.plan_mix(docs).select("source", "target").distinct().collect()}
+    assert all(abs(words[s] - t) <= largest and abs(planned[s] - t) <= largest for s, (t, largest) in targets.items())
+    single = Counter((r["doc_id"], r["text"], r["source"]) for r in out)
+    assert all(n <= 3 * rows.count((i, t, "en", s, 1)) for (i, t, s), n in single.items())
+
+
 def test_schedule_inverse(spark):
     """Integrating the schedule up to the position gives back the share."""
     rows = spark.range(101).select((F.col("id") / 100).alias("q")).crossJoin(spark.createDataFrame([([1.5, 1.0, 0.5],), ([1.0, 1.0],), ([0.0, 2.0, 0.0],)], "rates array<double>"))
