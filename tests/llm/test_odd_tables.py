@@ -373,6 +373,14 @@ def test_deduplicate_by_similarity(spark):
     assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} == want
 
 
+def test_components_with_hubs(spark):
+    """Stars of thousands of edges and what hangs on them."""
+    edges = [(0, i) for i in range(1, 3000)] + [(5000, i) for i in range(5001, 8000)] + [(i, i + 10_000) for i in range(1, 3000, 7)] + [(5003, 20_000), (20_000, 20_001)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got.keys() == {x for e in edges for x in e}
+    assert all(c == (5000 if 5000 <= n < 8000 or n >= 20_000 else 0) for n, c in got.items())
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))] + [(None, 3), (5, 5)] + [(1000 + i, 1000 + i + 1) for i in range(40)]
