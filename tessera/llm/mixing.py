@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import cut, ranked, word_count
 
 #: Rows a cell of the two-level sum should hold.
 CELL_ROWS = 2048
@@ -30,20 +30,6 @@ REPEATED = 10_000
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
 
 
-def ranked(df: DataFrame, *order: Column) -> DataFrame:
-    """``df`` with ``rank``, 0, 1, ... in this order, by sorted partitions and the counts of their rows."""
-    rows = cut(df.orderBy(*order)).withColumn("__at", F.monotonically_increasing_id())
-    part = F.shiftright("__at", 33)
-    sizes = rows.groupBy(part.alias("p")).count().orderBy("p").collect()  # a row a partition
-    before, starts = 0, []
-    for r in sizes:
-        starts.append((r["p"], before))
-        before += r["count"]
-    known = df.sparkSession.createDataFrame(starts, "__part long, __before long")
-    joined = rows.join(F.broadcast(known), part == F.col("__part"))
-    return joined.select(*df.columns, (F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).alias("rank"))
-
-
 def source_targets(sizes: DataFrame, *, limit: float = 3.0) -> DataFrame:
     """``(source, source_size, source_rows, weight, target)`` from rows ``(source, size)``.
 

@@ -625,7 +625,8 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(frame.where("false")).count() == 0
 
 
-def test_embeddings_in_many_blocks(spark, monkeypatch):
+@pytest.mark.parametrize(("small", "pairs"), [(2048, 200_000), (100, 200_000), (100, 0)])
+def test_embeddings_in_many_blocks(spark, monkeypatch, small, pairs):
     """Dense groups across block borders, against the whole matrix."""
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(size=(600, 32)), rng.normal(size=(1, 32)) + 0.05 * rng.normal(size=(300, 32)), rng.normal(size=(1, 32)) + 0.25 * rng.normal(size=(300, 32))])
@@ -633,6 +634,10 @@ def test_embeddings_in_many_blocks(spark, monkeypatch):
     linked = unit @ unit.T >= 0.9
     np.fill_diagonal(linked, False)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 150)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_VALUES", 150 * 32)
+    monkeypatch.setattr(embedding_dedup, "SMALL", small)
+    monkeypatch.setattr(embedding_dedup, "STRIPE", 64)
+    monkeypatch.setattr(embedding_dedup, "BROADCAST_PAIRS", pairs)
     got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
     label = np.arange(len(x))
     while True:
