@@ -1,11 +1,12 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-Texts and items become numbers of normalised words.  Every window of an item
-holds one of the item's blocks, which begin at every ``window // 2`` words and are
-as long; the automaton's patterns are these blocks, and whole items shorter than
-a window.  A text is scanned once.  Where a block is found, the windows around it
-are looked up by a rolling hash and compared word by word.  Matches are mapped
-back to words and, for texts that have any, to character offsets of the original.
+Texts and items become numbers of normalised words, a few letters each.  Every
+window of an item holds one of the item's blocks, which are ``window // 3`` words
+long and as far apart as that allows; the automaton's patterns are these blocks,
+and whole items shorter than a window.  A text is scanned once.  Where a block is
+found, the windows around it are looked up by a rolling hash and compared word by
+word.  Matches are mapped back to words and, for texts that have any, to character
+offsets of the original.
 
 Blocks over word numbers take about one node a word of the benchmark, where all
 windows over characters would take some hundred.  The benchmark travels to the
@@ -20,6 +21,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -37,6 +39,9 @@ _SPAN = pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("start
 _RESULT = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(_SPAN))])
 SCHEMA = "n_words long, spans array<struct<first_word:long,end_word:long,start:long,end:long,item:string>>"
 
+#: Letters of one place of a word's number.  Each place has letters of its own, so no match begins inside a number.
+_BASE = 64
+
 _built: dict[str, Index] = {}
 
 
@@ -61,9 +66,10 @@ class Index:
     """The automaton of (item, text) pairs and the windows around its blocks."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        self.window, self.block = window, max(1, window // 2)
+        self.window, self.block = window, max(1, window // 3)
         self.items, self.words = [], {}
         parts, patterns = [], {}  # pattern: [whether it is a block, items that are no longer]
+        apart = window - self.block + 1
         for item, text in items:
             found = words_of(text)
             if not found:
@@ -74,7 +80,7 @@ class Index:
             if len(ids) < window:
                 patterns.setdefault(tuple(ids), [False, []])[1].append(len(self.items) - 1)
                 continue
-            for at in range(0, len(ids) - self.block + 1, self.block):
+            for at in range(0, len(ids) - self.block + 1, apart):
                 patterns.setdefault(tuple(ids[at : at + self.block]), [False, []])[0] = True
         self.stream = np.concatenate(parts) if parts else np.empty(0, np.int32)
         sizes = np.array([len(p) for p in parts], np.int64)
@@ -93,30 +99,37 @@ class Index:
             if all((self.stream[self.place[same] + j] == self.stream[self.place[same + 1] + j]).all() for j in range(window)):
                 break
             self.odd += 2  # two windows share a hash: another one
-        self.automaton = None
+        self.places, self.automaton = 1, None
+        while _BASE**self.places <= len(self.words):
+            self.places += 1
+        spell = [self._letters(n) for n in range(len(self.words) + 1)]
+        self.spelled = dict(zip(self.words, spell[1:], strict=True))
+        self.unknown = spell[0]
         if patterns:
-            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            self.automaton = ahocorasick.Automaton()
             for key, (block, short) in patterns.items():
-                self.automaton.add_word(key, (len(key), block, sorted({self.items[i] for i in short})))
+                self.automaton.add_word("".join([spell[n] for n in key]), (len(key), block, sorted({self.items[i] for i in short})))
             self.automaton.make_automaton()
 
+    def _letters(self, number: int) -> str:
+        return "".join(chr(48 + place * _BASE + number // _BASE**place % _BASE) for place in range(self.places))
+
     def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, int, int, int, str]]]:
         """Number of words, and (first word, end word, start, end, item) of every occurrence of a window."""
         words = words_of(text)
         if not words or self.automaton is None:
             return len(words), []
-        number = self.words.get
-        ids = tuple([number(w, 0) for w in words])
         found, near = [], []
-        for end, (size, block, short) in self.automaton.iter(ids):
+        for last, (size, block, short) in self.automaton.iter("".join(map(self.spelled.get, words, repeat(self.unknown)))):
+            end = last // self.places + 1
             if block:
-                near.append(end + 1 - size)
-            found += [(end + 1 - size, end + 1, item) for item in short]
-        if near and len(ids) >= self.window:
-            array = np.array(ids, np.int32)
+                near.append(end - size)
+            found += [(end - size, end, item) for item in short]
+        if near and len(words) >= self.window:
+            array = np.fromiter(map(self.words.get, words, repeat(0)), np.int32, len(words))
             # windows that hold a found block
             reach = np.array(near)[:, None] - np.arange(self.window - self.block + 1)
-            starts = np.unique(reach[(reach >= 0) & (reach <= len(ids) - self.window)])
+            starts = np.unique(reach[(reach >= 0) & (reach <= len(words) - self.window)])
             hashes = _hashes(array, self.window, self.odd)[starts]
             at = np.searchsorted(self.hashes, hashes)
             to = np.searchsorted(self.hashes, hashes, "right")
