@@ -162,14 +162,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, min_z: float = MIN_Z, prior_share: float = PRIOR_SHARE) -> Model:
-    """Fit on ``docs`` joined with ``labels`` (one label 0 or 1 an id; others are ignored).
+    """Fit on ``docs`` joined with ``labels`` (0 or 1; other values, and ids labelled both ways, are ignored).
 
     At most about ``sample`` labels are used, chosen by the ids' hash; these are
     few enough to be broadcast.  Two thirds of them give the token scores, the
     rest the calibration.  Without labels of both kinds the model has no tokens
     and gives the base rate.
     """
-    known = labels.select(labels[id_col].alias("__id"), labels[label_col].cast("int").alias("toxic")).where(F.col("__id").isNotNull() & F.col("toxic").isin(0, 1)).dropDuplicates(["__id"])
+    known = labels.select(labels[id_col].alias("__id"), labels[label_col].cast("int").alias("toxic")).where(F.col("__id").isNotNull() & F.col("toxic").isin(0, 1))
+    known = known.groupBy("__id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("__other")).where(F.col("toxic") == F.col("__other")).drop("__other")
     n = known.count()
     share = min(1.0, sample / max(1, n))
     draw = F.pmod(F.xxhash64("__id", F.lit("toxicity")), F.lit(1 << 20))

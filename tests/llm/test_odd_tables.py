@@ -245,6 +245,52 @@ def test_toxicity(spark, docs):
     assert len(rows) == docs.count() and all(0 <= r["toxicity"]["score"] <= 1 for r in rows)
 
 
+def test_toxicity_against_brute_force(spark):
+    """Token scores by their formula, the best passage among all passages, and the score from both."""
+    import random
+    from collections import Counter
+    from math import log, sqrt
+
+    rng = random.Random(9)
+    plain, bad = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}q" for i in range(60)], ["vile", "foul", "rotten", "nasty"]
+    rows, labels = [], []
+    for i in range(600):
+        words = [rng.choice(plain) for _ in range(rng.randrange(1, 40))]
+        toxic = i % 3 == 0
+        if toxic:
+            for _ in range(rng.randrange(1, 5)):
+                words.insert(rng.randrange(len(words) + 1), rng.choice(bad))
+        rows.append((i, " ".join(words)))
+        if i % 2 == 0:
+            labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([*labels, (0, 0), (None, 1), (2, None), (9999, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, known)
+    part = {r["doc_id"]: r["p"] for r in docs.select("doc_id", F.expr("pmod(xxhash64(doc_id, 'half'), 3)").alias("p")).collect()}
+    text, label = dict(rows), {i: y for i, y in labels if i != 0}  # id 0 is labelled both ways
+    counts = {1: Counter(), 0: Counter()}
+    for i, y in label.items():
+        if part[i] != 0:
+            counts[y].update(set(text[i].split()))
+    total = {y: sum(c.values()) for y, c in counts.items()}
+    share = toxicity.PRIOR_SHARE
+    want = {}
+    for w in {*counts[0], *counts[1]}:
+        alpha = share * (counts[0][w] + counts[1][w])
+        mass = share * (total[0] + total[1])
+        odds = [log((counts[y][w] + alpha) / (total[y] + mass - counts[y][w] - alpha)) for y in (0, 1)]
+        score = odds[1] - odds[0]
+        if abs(score / sqrt(1 / (counts[1][w] + alpha) + 1 / (counts[0][w] + alpha))) >= toxicity.MIN_Z:
+            want[w.encode()] = score
+    assert model.scores == pytest.approx(want) and {w.encode() for w in bad} <= set(want)
+    for r in toxicity.score_toxicity(docs, model).collect():
+        words = [w.encode() for w in text[r["doc_id"]].split()]
+        each = [model.scores.get(w, model.neutral) for w in words]
+        best = max((sum(each[a:b]) for a in range(len(each)) for b in range(a + 1, len(each) + 1)), default=0.0)
+        assert r["toxicity"]["best"] == pytest.approx(max(0.0, best))
+        assert r["toxicity"]["score"] == pytest.approx(model.probability(max(0.0, best), len(words)))
+
+
 def test_segments_are_all_maximal_ones():
     """Against the definition: scan for the best segment, then on both sides of it."""
     import random
@@ -553,6 +599,24 @@ def test_kneser_ney_against_its_formulas(spark, order):
             assert r["__nll"] == pytest.approx(want[r["t"] or ""]) and r["__bytes"] == len((r["t"] or "").encode()) + 1
 
 
+def test_quality_thresholds_are_quantiles_of_held_out_texts(spark):
+    """Perplexities of all trusted texts that gave no counts, by language, by brute force."""
+    rng = np.random.default_rng(10)
+    words = {"en": [f"en{i}" for i in range(40)], "de": [f"de{i}" for i in range(40)]}
+    rows = [(i, " ".join(rng.choice(words[lang], rng.integers(3, 30))), lang) for i in range(900) for lang in (("en", "de")[i % 3 == 0],)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = docs.where("doc_id % 2 = 0").select("doc_id")
+    got = kneser_ney.judge(docs, trusted, sample=100, quantile=0.9).collect()
+    drawn = kneser_ney._trusted(kneser_ney._keyed(docs, "doc_id", "text", "lang"), trusted, "doc_id", 100).collect()
+    held = {r["__member"] for r in drawn if not r["__counted"]}
+    assert 300 < len(held) < 400 and len(drawn) == 450
+    for lang in ("en", "de"):
+        values = sorted(r["log_perplexity"] for r in got if r["__lang"] == lang and r["__id"] in held)
+        limit = values[int(np.ceil(0.9 * len(values))) - 1] + kneser_ney.MARGIN
+        assert {r["threshold"] for r in got if r["__lang"] == lang} == {pytest.approx(limit)}
+    assert all(r["accepted"] == (r["log_perplexity"] <= r["threshold"]) for r in got)
+
+
 def test_quality_judges_each_row_once(spark, docs):
     """What is judged in one pass is what fit and classify say."""
     trusted = docs.where("doc_id IS NULL OR doc_id <> 2").select("doc_id").distinct()
