@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -16,6 +15,7 @@ from .schema import Column, Schema, Table
 from .sources.database import Config, Conflict, Database, Referenced
 from .sources.external import ExternalSource, query_one, run_query
 from .sources.migrate import Migrator
+from .sources.store import temporary_folder
 from .types import F64, I64, Date, String, Timestamp
 
 
@@ -632,9 +632,7 @@ def stored(sql: str | None):
 
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            shared = spark.conf.get("spark.checkpoint.dir", None)
-            folder = f"{shared.rstrip('/')}/{fn.__name__}-{next(tempfile._get_candidate_names())}" if shared else tempfile.mkdtemp(prefix="tessera-")
-            return fn(spark, sf_dir, folder)
+            return fn(spark, sf_dir, temporary_folder(spark, fn.__name__))
 
         _queries[fn.__name__] = run
         if sql:

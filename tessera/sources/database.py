@@ -13,7 +13,6 @@ import contextlib
 import datetime as dt
 import functools
 import re
-import tempfile
 import threading
 import uuid
 from collections.abc import Callable
@@ -28,7 +27,7 @@ from ..plans.scopes import IndexScan, Query, opened
 from ..schema import Schema, SchemaError, diff, schema_hash
 
 from . import external
-from .store import FAN, WHOLE, CommitConflict, Store
+from .store import FAN, WHOLE, CommitConflict, Store, temporary_folder
 
 
 class Conflict(Exception):
@@ -96,7 +95,7 @@ class Database:
 
     def __init__(self, spark: SparkSession, schema: Schema, config: Config = Config()):  # noqa: B008
         self.spark, self.schema, self.config = spark, schema, config
-        self.store = Store(spark, config.folder or tempfile.mkdtemp(prefix="tessera-db-"), config.synchronous)
+        self.store = Store(spark, config.folder or temporary_folder(spark, "tessera-db"), config.synchronous)
         self._lock = threading.Lock()
         manifest = self.store.read()
         if manifest is None:
