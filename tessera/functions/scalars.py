@@ -3,7 +3,7 @@
 Spark's own functions are used wherever they mean the same; guards stand where
 they don't: division by zero is null, casts saturate, letters fold in ASCII only,
 comparison of two values with ``eq`` is null-safe.  All are JVM-side except
-rounding to an exact binary value and patterns that come from a column.
+rounding to a number of digits, and patterns, that come from a column.
 """
 
 from __future__ import annotations
@@ -59,6 +59,32 @@ def _round_exact(x: pd.Series, digits: pd.Series) -> pd.Series:
     return pd.Series([one(v, n) for v, n in zip(x, digits, strict=True)], dtype="float64")
 
 
+def _round_known(x: Column, digits: int) -> Column:
+    """The same for a known number of digits, in double arithmetic.
+
+    A product's rounding error is itself a double, found by splitting the factors
+    (Dekker), so the comparison with one half is exact; the quotient of two whole
+    numbers below 2**53 is the double nearest to the decimal.
+    """
+    scale = float(10 ** max(0, digits))
+
+    def halves(v: Column) -> tuple[Column, Column]:
+        big = v * 134217729.0
+        high = big - (big - v)
+        return high, v - high
+
+    def rounded(a: Column) -> Column:
+        product = a * scale
+        (ah, al), (sh, sl) = halves(a), halves(F.lit(scale))
+        error = ((ah * sh - product) + ah * sl + al * sh) + al * sl
+        whole = F.floor(product).cast("double")
+        return (whole + F.when((product - whole) - 0.5 + error >= 0, F.lit(1.0)).otherwise(F.lit(0.0))) / scale
+
+    a = F.abs(x)
+    near = a * scale < _WHOLE * 2
+    return F.when(F.isnan(x), F.lit(None)).when(~near, x).otherwise(F.signum(x) * rounded(F.when(near, a)))
+
+
 def glob_regex(pattern: str) -> str:
     """Regular expression of a glob: ``*`` any text, ``?`` any character, ``[..]`` and ``[^..]`` sets."""
     out, i = [], 0
@@ -215,6 +241,8 @@ def apply(name: str, args: list[Column], extra: object, constants: list[object])
         return _glob_any(args[0], args[1], constants[1] if isinstance(constants[1], str) else None)
     if name == "to_date_in_tz":
         return F.to_date(F.from_utc_timestamp(args[0], extra))
+    if name == "round" and isinstance(constants[1], int) and constants[1] <= 22:
+        return _round_known(args[0], constants[1])
     if name == "contains" and isinstance(constants[1], str):
         return args[0].contains(F.lit(constants[1]))
     return SIMPLE[name](*args)

@@ -82,6 +82,8 @@ class Frame:
 
     def __init__(self, source: Source, names: Iterable[int] | None = None):
         self.source, self.df, self.columns = source, None, {}
+        # the scans and the filters that need nothing else; lookups and aggregates add columns to ``df`` only
+        self.core: DataFrame | None = None
         self.names = names if names is not None else itertools.count()
         self.groups: dict[Rows, list[Agg]] = {}
 
@@ -208,7 +210,8 @@ class Frame:
         else:
             values = [self.column(f) for f in outer]
             named = {f: self._name("d") for f in outer}
-            domain = self.df.select(*[v.alias(named[f]) for f, v in zip(outer, values, strict=True)]).distinct()
+            # lookups and aggregates change no rows, so those joined so far add nothing to the domain
+            domain = self.core.select(*[v.alias(named[f]) for f, v in zip(outer, values, strict=True)]).distinct()
             inner = Frame(self.source, self.names)
             df, names, results = inner.grouped(node.rows, _conjuncts(node.rows.filters), outer, group, (domain, named))
             pairs = [(F.col(n), v, _nullable(f)) for n, v, f in zip(names, values, outer, strict=True)]
@@ -276,6 +279,7 @@ class Frame:
     def build(self, rows: Rows, filters: list[Any], outs: list[Any], domain=None) -> None:
         """Scans joined and all filters applied."""
         rest = self.start(rows, filters, domain)
+        self.core = self.df
         self.announce([*rest, *outs])
         wanted = set()
         todo = list(outs)
@@ -284,9 +288,11 @@ class Frame:
             wanted.add(n)
             todo += children(n)
         for f in rest:
+            bare, before = self.core is self.df, len(self.columns)
             if not self._semi(f, wanted):
                 condition = self.column(f)  # may join to self.df
                 self.df = self.df.where(condition)
+            self.core = self.df if bare and len(self.columns) == before else self.core
 
     def _semi(self, f: Any, wanted: set) -> bool:
         """Apply a filter for the (in)existence of an aggregate's rows as a semi (anti) join."""

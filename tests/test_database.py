@@ -431,3 +431,117 @@ def test_stream_is_appended_once(spark, tmp_path):
         ingest(source, db, Event, "events", str(tmp_path / "checkpoint")).awaitTermination()
     assert not append_batch(db, Event, "events", rows, 0)
     assert db.transaction(lambda txn: txn.source(Event).count()) == 50
+
+
+def folders(db):
+    import os
+
+    return {d for d in os.listdir(db.store.folder) if os.path.isdir(os.path.join(db.store.folder, d))}
+
+
+def test_a_commit_writes_only_what_changed(world, spark):
+    """Inserts, changes and deletes add small layers; the rows that are there stay where they are."""
+    db, User, Image, Note, Pair = world
+    db.import_table(User, spark.range(1, 5001).selectExpr("id", "concat('u', id) AS name"))
+    whole = folders(db)
+    db.transaction_mut(lambda txn: txn.insert_ok(User, name="new"))
+    layers = db.store.read()["tables"]["user"]["layers"]
+    assert len(layers) == 2 and len(folders(db) - whole) == 1
+    assert db.store.read_folder(layers[1]["rows"], User.struct()).count() == 1
+
+    def change(txn):
+        txn.downgrade()
+        found = txn.spark_sql("SELECT id FROM user WHERE name IN ('u7', 'u8') ORDER BY id").collect()
+        from tessera import RowRef
+
+        with txn.mutable(RowRef(User, found[0]["id"], txn)) as m:
+            m.name = "seven"
+        assert txn.delete(RowRef(User, found[1]["id"], txn))
+
+    db.transaction_mut(change)
+    table = db.store.read()["tables"]["user"]["layers"]
+    assert table[:2] == layers and all(x.get("gone") for x in table[2:])
+    names = {r["name"] for r in db.transaction(lambda txn: txn.spark_sql("SELECT name FROM user")).collect()}
+    assert names == {f"u{i}" for i in range(1, 5001)} - {"u7", "u8"} | {"seven", "new"}
+
+
+def test_layers_are_merged_by_level(world, spark):
+    """Fifty appends leave few layers; no row was written more than a few times; unused folders can be deleted."""
+    db, User, *_ = world
+    written = []
+    write = db.store.write
+    db.store.write = lambda name, df: written.append(df.count()) or write(name, df)
+    for i in range(50):
+        db.transaction_mut(lambda txn, i=i: txn.insert_ok(User, name=f"u{i}"))
+    layers = db.store.read()["tables"]["user"]["layers"]
+    assert len(layers) <= 2 * 8 and sum(written) <= 50 * 3
+    before = {r["name"] for r in db.transaction(lambda txn: txn.spark_sql("SELECT name FROM user")).collect()}
+    assert db.store.vacuum(keep=1) and len(db.store.versions()) == 1
+    assert before == {r["name"] for r in db.transaction(lambda txn: txn.spark_sql("SELECT name FROM user")).collect()} == {f"u{i}" for i in range(50)}
+    assert len(folders(db)) == len(layers)
+
+
+def test_many_changes_in_one_transaction(world, spark):
+    """More changes than layers may hold become one whole table."""
+    db, User, *_ = world
+    db.import_table(User, spark.range(1, 41).selectExpr("id", "concat('u', id) AS name"))
+
+    def change(txn):
+        from tessera import RowRef
+
+        for i in range(1, 12):
+            with txn.mutable(RowRef(User, i, txn)) as m:
+                m.name = f"v{i}"
+        txn.insert_ok(User, name="late")
+
+    db.transaction_mut(change)
+    assert len(db.store.read()["tables"]["user"]["layers"]) == 1
+    names = sorted(r["name"] for r in db.transaction(lambda txn: txn.spark_sql("SELECT name FROM user")).collect())
+    assert names == sorted([*(f"v{i}" for i in range(1, 12)), *(f"u{i}" for i in range(12, 41)), "late"])
+
+
+def test_of_many_writers_one_wins(world):
+    """A race for the next manifest has one winner, whatever the file system's rename does."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    db, *_ = world
+    manifest = db.store.read()
+
+    def claim(_):
+        try:
+            return db.store.commit(manifest)
+        except CommitConflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [v for v in pool.map(claim, range(16)) if v]
+    assert len(won) == 1 and db.store.versions()[-1] == won[0]
+    import os
+
+    assert not [f for f in os.listdir(db.store.folder) if f.startswith(".part")]
+
+
+def test_bulk_inserts_are_checked(world, spark):
+    """New rows against each other, against the table and against what they refer to."""
+    db, User, Image, Note, Pair = world
+    user = db.transaction_mut(lambda txn: txn.insert_ok(User, name="a"))
+    rows = lambda *x: spark.createDataFrame(x, "file_name string, uploaded_by long")
+    db.transaction_mut(lambda txn: txn.insert_many(Image, rows(("x", user.id), ("y", user.id))))
+    for bad, why in (((("z", user.id), ("z", user.id)), Conflict), ((("x", user.id),), Conflict), ((("q", 77),), Referenced), (((None, user.id),), TypeError)):
+        with pytest.raises(why):
+            db.transaction_mut(lambda txn, bad=bad: txn.insert_many(Image, rows(*bad)))
+    got = db.transaction(lambda txn: txn.spark_sql("SELECT id, file_name FROM image")).collect()
+    assert sorted((r["id"], r["file_name"]) for r in got) == [(1, "x"), (2, "y")]
+    assert not [f for f in folders(db) if f.startswith("scratch")]
+
+
+def test_spark_sql_leaves_session_views_alone(world, spark):
+    db, User, *_ = world
+    db.transaction_mut(lambda txn: txn.insert_ok(User, name="a"))
+    spark.range(3).createOrReplaceTempView("user")
+    try:
+        got = db.transaction(lambda txn: txn.spark_sql("WITH x AS (SELECT * FROM user) SELECT count(*) AS n FROM x WHERE name = :name", {"name": "a"}).first()["n"])
+        assert got == 1 and spark.table("user").count() == 3
+    finally:
+        spark.catalog.dropTempView("user")
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("user__")]

@@ -78,3 +78,27 @@ def test_types_are_checked(bad):
 def test_overflow_is_an_error(spark):
     with pytest.raises(Exception, match="OVERFLOW"):
         query_one(lambda table: one_row(spark), lit(MAX).add(1))
+
+
+def test_rounding_is_exact(spark):
+    """Doubles next to and on ties, against decimal arithmetic on their binary values."""
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions import scalars
+
+    rng = random.Random(3)
+    given = [0.0, -0.0, 0.5, 1.5, 2.5, -0.5, 1e300, -1e300, 5e-324, 4503599627370495.5, 9007199254740991.0, 0.1 + 0.2, math.inf, -math.inf]
+    for _ in range(3000):
+        k, n = rng.randrange(0, 10 ** rng.randrange(1, 12)), rng.randrange(0, 10)
+        x = (10 * k + 5) / 10 ** (n + 1)  # what the decimal tie is stored as
+        given += [x, math.nextafter(x, 0), math.nextafter(x, math.inf), -x, rng.uniform(-1e6, 1e6), rng.random() * 10.0 ** rng.randrange(-12, 17)]
+    frame = spark.createDataFrame([(x,) for x in given], "x double")
+    digits = (0, 1, 2, 3, 6, 9, 15, 22)
+    for r in frame.select("x", *[scalars.apply("round", [F.col("x"), F.lit(n)], None, [None, n]).alias(f"r{n}") for n in digits]).collect():
+        x = r["x"]
+        for n in digits:
+            want = x if math.isinf(x) or abs(x) >= 2**52 else float(Decimal(x).quantize(Decimal(1).scaleb(-n), rounding=ROUND_HALF_UP)) if abs(x) < 1e5 else None
+            assert want is None or r[f"r{n}"] == want, (x, n, r[f"r{n}"], want)
