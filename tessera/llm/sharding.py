@@ -29,7 +29,7 @@ from .common import cut, top_bits, unsigned
 #: Bits of the key that the first and each later round decide.
 FIRST, STEP = 12, 8
 #: Bytes of a sorted run, and runs up to which their table of one row each is broadcast; more are joined by the rows' one exchange.
-RUN_BYTES, BROADCAST_RUNS = 2 << 20, 20_000
+RUN_BYTES, BROADCAST_RUNS = 1 << 19, 100_000
 #: Cuts that are searched at a time.
 FAN = 64
 _WORD = 1 << 64
