@@ -82,7 +82,8 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     empty table gives an empty result.
     """
     base = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"))
-    return _plan(cut(base.withColumn("__h", F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")))), limit, schedules)
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix")).cast("binary"))
+    return _plan(cut(base.withColumn("__h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))), limit, schedules)
 
 
 def _plan(base: DataFrame, limit: int, schedules) -> DataFrame:
@@ -93,8 +94,8 @@ def _plan(base: DataFrame, limit: int, schedules) -> DataFrame:
     # a join by source alone would bring a hot source's rows to one task
     named = F.broadcast(named) if targets.count() <= BROADCAST_SOURCES else named
     rows = base.withColumn("__key", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))).join(named, "__key")
-    # cells are hash ranges: their order is the order of the hash
-    rows = rows.withColumn("__cell", F.floor(F.shiftrightunsigned("__h", 33) * F.col("__cells") / float(1 << 31)).cast("long"))
+    # cells are hash ranges: their order is the order of the hash, which has 60 bits
+    rows = rows.withColumn("__cell", F.floor(F.shiftrightunsigned("__h", 29) * F.col("__cells") / float(1 << 31)).cast("long"))
     sums = rows.groupBy("__key", "__cell").agg(F.sum("size").alias("__in_cell"))
     sums = sums.withColumn("__start", F.sum("__in_cell").over(Window.partitionBy("__key").orderBy("__cell")) - F.col("__in_cell"))
     rows = rows.join(cut(sums.drop("__in_cell")), ["__key", "__cell"])
@@ -128,7 +129,7 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     id_, source = docs[id_col].cast("string"), docs[source_col]
     # rows that agree in id, source and text are interchangeable
     tagged = docs.withColumns({
-        "__h": F.xxhash64(F.coalesce(id_, F.lit("")), F.lit("mix"), F.xxhash64(docs[text_col]), source, source.isNull()),
+        "__h": F.shiftrightunsigned(F.xxhash64(F.coalesce(id_, F.lit("")), F.lit("mix"), F.xxhash64(docs[text_col]), source, source.isNull()), 4),
         "__size": word_count(docs[text_col]),
     })
     base = cut(tagged.select(docs[id_col].alias("doc_id"), source.alias("source"), F.col("__size").alias("size"), "__h"))

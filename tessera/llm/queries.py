@@ -126,6 +126,20 @@ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b
 reach(vec_id, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT links.a, reach.r FROM reach JOIN links ON links.b = reach.vec_id)
 SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id)::BIGINT AS n_links, min(r)::BIGINT AS component_id, v.vec_id = min(r) AS kept
 FROM v JOIN reach ON reach.vec_id = v.vec_id GROUP BY v.vec_id
+""",
+    "op4_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5(doc_id::VARCHAR || ':mix'), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT AS weight FROM d GROUP BY source),
+l AS (SELECT *, (sum(source_size) OVER () - 3.0::DOUBLE * coalesce(sum(source_size) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+      FROM s WINDOW before AS (ORDER BY source_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, weight, least((SELECT max(level) FROM l WHERE level * weight <= 3.0::DOUBLE * source_size) * weight, 3.0::DOUBLE * source_size) AS target FROM s),
+p AS (SELECT d.*, source_size, weight, target, floor(target / source_size)::INT AS passes, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size) - size AS f
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, least(3, passes + (f + size / 2.0::DOUBLE <= target - passes * source_size)::INT) AS copies, least(1.0::DOUBLE, f / target) AS share,
+             [[1.5, 1.0, 0.5], [1.0, 1.0, 1.0], [0.5, 1.0, 1.5]][weight]::DOUBLE[] AS r FROM p),
+q AS (SELECT *, share * ((r[1] + r[2]) / 2 + (r[2] + r[3]) / 2) AS want, CASE WHEN share * ((r[1] + r[2]) / 2 + (r[2] + r[3]) / 2) >= (r[1] + r[2]) / 2 THEN 2 ELSE 1 END AS k FROM c),
+z AS (SELECT *, want - CASE WHEN k = 2 THEN (r[1] + r[2]) / 2 ELSE 0 END AS rest, sqrt(greatest(0.0::DOUBLE, r[k] * r[k] + 2 * (r[k + 1] - r[k]) * (want - CASE WHEN k = 2 THEN (r[1] + r[2]) / 2 ELSE 0 END))) AS root FROM q)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies, CASE WHEN copies > 0 THEN least(1.0::DOUBLE, (k - 1 + least(1.0::DOUBLE, 2 * rest / (r[k] + root))) / 2) END AS position FROM z
 """,
     "op7_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
