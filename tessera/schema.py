@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import json
 import re
 from typing import Any
@@ -176,6 +177,17 @@ class Schema:
             for t in sorted(self.tables, key=lambda t: t._name)
         }
 
+    def place(self, table: str, column: str | None = None) -> str | None:
+        """File and line of a table's declaration, or of a column's in it."""
+        declared = next((t for t in self.tables if t._name == table), None)
+        try:
+            lines, first = inspect.getsourcelines(declared)
+            file = inspect.getsourcefile(declared)
+        except (OSError, TypeError):
+            return None
+        at = next((i for i, line in enumerate(lines) if column and re.match(rf"\s*{re.escape(column)}\s*=", line)), 0)
+        return f"{file}:{first + at}"
+
     def hash(self) -> str:
         return schema_hash(self.canonical())
 
@@ -189,28 +201,37 @@ def schema_hash(canonical: dict) -> str:
     return hashlib.blake2b(json.dumps(bare, sort_keys=True).encode(), digest_size=16).hexdigest()
 
 
-def diff(stored: dict, declared: dict) -> list[str]:
-    """What a stored schema has otherwise than a declared one, as sentences; plain indices don't count."""
+class Difference(str):
+    """A sentence about a table, and a column or key of it; ``place`` is where the declaration is, if it is known."""
+
+    def __new__(cls, table: str, what: str, column: str | None = None):
+        out = super().__new__(cls, what)
+        out.table, out.column, out.place = table, column, None
+        return out
+
+
+def diff(stored: dict, declared: dict) -> list[Difference]:
+    """What a stored schema has otherwise than a declared one; plain indices don't count."""
     out = []
     for t in sorted({*stored, *declared}):
         if t not in stored:
-            out.append(f"table {t} is declared but not stored")
+            out.append(Difference(t, f"table {t} is declared but not stored"))
             continue
         if t not in declared:
-            out.append(f"table {t} is stored but not declared")
+            out.append(Difference(t, f"table {t} is stored but not declared"))
             continue
         s, d = stored[t], declared[t]
         if s["primary_key"] != d["primary_key"]:
-            out.append(f"table {t}: the primary key is stored as {s['primary_key']}, declared as {d['primary_key']}")
+            out.append(Difference(t, f"table {t}: the primary key is stored as {s['primary_key']}, declared as {d['primary_key']}", d["primary_key"]))
         for c in sorted({*s["columns"], *d["columns"]}):
             a, b = s["columns"].get(c), d["columns"].get(c)
             if a is None:
-                out.append(f"table {t}: column {c} ({b}) is declared but not stored")
+                out.append(Difference(t, f"table {t}: column {c} ({b}) is declared but not stored", c))
             elif b is None:
-                out.append(f"table {t}: column {c} ({a}) is stored but not declared")
+                out.append(Difference(t, f"table {t}: column {c} ({a}) is stored but not declared", c))
             elif a != b:
-                out.append(f"table {t}: column {c} is stored as {a}, declared as {b}")
+                out.append(Difference(t, f"table {t}: column {c} is stored as {a}, declared as {b}", c))
         mine, theirs = {tuple(u) for u in s["unique"]}, {tuple(u) for u in d["unique"]}
-        out += [f"table {t}: unique {', '.join(u)} is stored but not declared" for u in sorted(mine - theirs)]
-        out += [f"table {t}: unique {', '.join(u)} is declared but not stored" for u in sorted(theirs - mine)]
+        for keys, what in ((mine - theirs, "stored but not declared"), (theirs - mine, "declared but not stored")):
+            out += [Difference(t, f"table {t}: unique {', '.join(u)} is {what}", u[0]) for u in sorted(keys)]
     return out

@@ -47,7 +47,13 @@ class Referenced(Exception):
 
 
 class Drift(Exception):
-    """The stored schema isn't the declared one."""
+    """The stored schema isn't the declared one; ``differences`` say where, each with the place of the declaration."""
+
+    def __init__(self, what: str, differences: list | None = None, schema: Schema | None = None):
+        super().__init__(what)
+        self.differences = differences or []
+        for d in self.differences:
+            d.place = schema.place(d.table, d.column) if schema else None
 
 
 @dataclass(frozen=True)
@@ -107,7 +113,7 @@ class Database:
         if manifest["schema_version"] != self.schema.version:
             raise Drift(f"the database is at version {manifest['schema_version']}, the schema at {self.schema.version}")
         if found := diff(manifest["schema"], self.schema.canonical()):
-            raise Drift("; ".join(found))
+            raise Drift("; ".join(found), found, self.schema)
 
     def transaction(self, fn: Callable[[Transaction], Any]) -> Any:
         """Results of ``fn`` on a pinned snapshot."""

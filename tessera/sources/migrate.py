@@ -116,7 +116,7 @@ class Migrator:
         elif manifest["schema_version"] < schema.version:
             return None
         elif manifest["schema_version"] == schema.version and (found := diff(manifest["schema"], schema.canonical())):
-            raise Drift("; ".join(found))
+            raise Drift("; ".join(found), found, schema)
         m.frames = {t._name: store.load(m.manifest["tables"].get(t._name, {"layers": []})["layers"], t.struct()) for t in schema.tables}
         return m
 

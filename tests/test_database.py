@@ -545,3 +545,25 @@ def test_spark_sql_leaves_session_views_alone(world, spark):
     finally:
         spark.catalog.dropTempView("user")
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("user__")]
+
+
+def test_drift_names_places(spark, tmp_path):
+    """A difference says which table and column, and where that is declared."""
+    import inspect
+
+    class User(Table):
+        name = Column(String)
+
+    config = Config.open(str(tmp_path / "db"))
+    Database(spark, Schema(User), config)
+
+    class Wider(Table):
+        __table__ = "user"
+        name = Column(String)
+        age = Column(I64)
+
+    with pytest.raises(Drift) as drift:
+        Database(spark, Schema(Wider), config)
+    (found,) = drift.value.differences
+    line = inspect.getsourcelines(Wider)[1] + 3
+    assert (found.table, found.column) == ("user", "age") and found.place.endswith(f"test_database.py:{line}")
