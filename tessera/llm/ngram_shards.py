@@ -65,7 +65,7 @@ def unpack(blob: bytes, dtype: Any, ordered: bool = False) -> np.ndarray:
 
 def shard_count(size: int) -> int:
     """Shards for so many bytes of text: distinct windows grow slower than the text, and so do the shards."""
-    return max(8, math.isqrt(max(0, size) >> 16))
+    return max(8, math.isqrt(max(0, size) >> 14))
 
 
 def copies(size: int, shards: int) -> int:
