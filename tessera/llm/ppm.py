@@ -37,6 +37,8 @@ ORDER = 6
 #: Windows and words that are broadcast at most; the others are looked up in shards.
 MAX_NODES = 1_000_000
 MAX_WORDS = 200_000
+#: Bytes of the longest word that is broadcast.
+LONGEST = 256
 #: Distinct words that a counting task holds, and words to look up that a scoring task holds, before it hands them on.
 FLUSH_WORDS = 500_000
 #: Texts that a task works on at a time.
@@ -202,15 +204,16 @@ def _words(parts: DataFrame) -> DataFrame:
 
 
 def _frequent_words(table: DataFrame, least: int) -> dict[bytes, int]:
-    """Words with at least ``least`` occurrences."""
+    """Words with at least ``least`` occurrences, but for very long ones, which are looked up."""
 
     def run(batches):
         for batch in batches:
             for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
                 counts = shards.unpack(b.as_py(), np.int64)
                 often = np.flatnonzero(counts >= least)
-                if len(often):
-                    names = zstandard.decompress(a.as_py()).split(b" ")
+                names = zstandard.decompress(a.as_py()).split(b" ") if len(often) else []
+                often = [i for i in often.tolist() if len(names[i]) <= LONGEST]
+                if often:
                     yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in often], pa.binary()), pa.array(counts[often])], ["w", "n"])
 
     found = table.select("a", "b").mapInArrow(run, "w binary, n long").toArrow()

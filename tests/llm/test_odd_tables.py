@@ -141,6 +141,18 @@ def test_ppm_against_brute_force(spark):
     assert {r["doc_id"] for r in ppm.score(named, named["doc_id"] < "n3").collect()} == {None, *(f"n{i}" for i in range(7))}
 
 
+def test_ppm_long_frequent_words(spark):
+    """A word too long to be broadcast counts like any other."""
+    from math import log10
+
+    long = "=" * 1000
+    docs = spark.createDataFrame([(i, f"{long} w{i % 3}") for i in range(60)], "doc_id long, text string")
+    n, v = 3 * 60, 5
+    for r in ppm.score(docs, docs["doc_id"] >= 0).collect():
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (3, 3, n)
+        assert r["base_score"] == pytest.approx(sum(log10((c + 0.5) / (n + 0.5 * (v + 1))) for c in (60, 20, 60)))
+
+
 def test_ppm_groups_and_requests(spark, monkeypatch):
     """Small buffers and groups of texts change nothing."""
     from tessera.llm import ngram_shards, ngrams
@@ -689,6 +701,18 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(frame.where("false")).count() == 0
 
 
+def test_embeddings_of_many_lengths(spark):
+    """Vectors of different lengths never link; a length costs no jobs of its own."""
+    rows = [(3 * w + k, [1.0 + k % 2 * x for x in range(w)]) for w in range(1, 200) for k in (0, 1, 2)]
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for w in range(1, 200):
+        a, b, c = (got[3 * w + k] for k in (0, 1, 2))
+        assert a["component_id"] == c["component_id"] == 3 * w
+        x = np.arange(w) + 1.0
+        linked = x.sum() / (np.sqrt(w) * np.linalg.norm(x)) >= 0.9
+        assert b["component_id"] == (3 * w if linked else 3 * w + 1) and b["n_links"] == 2 * linked
+
+
 @pytest.mark.parametrize(("small", "pairs"), [(2048, 200_000), (100, 200_000), (100, 0)])
 def test_embeddings_in_many_blocks(spark, monkeypatch, small, pairs):
     """Dense groups across block borders, against the whole matrix."""
