@@ -29,7 +29,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates; all empty texts are one group."""
+    """Keep the document with the smallest id of each group of texts whose five-word shingles are similar at about 0.8 or more.
+
+    All empty texts are one group.
+    """
     return simhash.deduplicate(docs)
 
 
