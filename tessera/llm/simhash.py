@@ -16,8 +16,10 @@ components are compared further, so a dense group costs a pass for each leader.
 :func:`near_duplicates` is the 64-bit form with two 32-bit segments: a distance of
 3 leaves at most one bit for one of them, so no link is missed.
 :func:`deduplicate` compares five-word shingles at a similarity of 0.8 and more,
-which is many bits apart: 256-bit fingerprints tell such similarities, and the
-first half of one is indexed in eight 16-bit segments.
+which is many bits apart: 256-bit fingerprints tell such similarities.  No index
+of short segments finds all pairs so far apart, so all pairs of distinct
+fingerprints meet, block by block: the first half of a fingerprint sifts, on what
+passes complete distances are verified.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from .common import LOWER, cut
 from .components import connected_components
 
 SEED = 42
-#: Words of a shingle, 64-bit words of a fingerprint and how many of them are indexed, for near-duplicates.
+#: Words of a shingle, 64-bit words of a fingerprint and how many of them sift, for near-duplicates.
 SHINGLE, WIDE, INDEXED = 5, 4, 2
 #: Differing bits at most.  A similarity of 0.8 differs in 39 of 256 bits on average, give or take 6.
 RADIUS = 44
@@ -40,6 +42,8 @@ RADIUS = 44
 REPEATED, CROWDED = 10_000, 50_000
 #: Rows of a key that are compared pair by pair, rows that are compared at once, and rows of a key that one task compares.
 PAIRWISE, STRIPE, BLOCK = 1024, 1 << 19, 4_000_000
+#: Where all pairs are compared: rows of a block at most; rows of one at least, and how many blocks at most, while blocks are smaller; pairs at a time.
+COMPARED, LEAST, BLOCKS, SIFTED = 1 << 18, 1024, 32, 1 << 16
 
 _MIX1, _MIX2, _ODD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -274,10 +278,57 @@ def links(prints: DataFrame, *, bits: int, radius: int, indexed: int = 1, block:
     return _forests(probes(prints, bits, indexed, block), radius, pairwise)
 
 
-def _components(nodes: DataFrame, **how) -> DataFrame:
+def compared(a: np.ndarray, b: np.ndarray | None, radius: int, sifting: int = INDEXED) -> np.ndarray:
+    """Roots of the rows of ``a`` and then ``b``: all pairs of a row of each within ``radius`` are joined, or all pairs of ``a`` without a ``b``.
+
+    A pair whose first ``sifting`` words differ in more bits is not within; the others' complete distances are verified.
+    """
+    prints = a if b is None else np.concatenate([a, b])
+    forest, columns = Forest(len(prints)), np.ascontiguousarray(prints.T[:sifting])
+    step = max(1, SIFTED // len(prints))
+    for at in range(0, len(a), step):
+        first = at if b is None else len(a)
+        mine, others = columns[:, at : min(at + step, len(a)), None], columns[:, None, first:]
+        bits = np.bitwise_count(mine[0] ^ others[0])
+        for p, q in zip(mine[1:], others[1:], strict=True):
+            bits += np.bitwise_count(p ^ q)  # three words have less than 256
+        i, j = np.divmod(np.flatnonzero(bits <= radius), bits.shape[1])
+        i, j = at + i, first + j
+        near = _near(prints, i, j, radius)
+        forest.link(i[near], j[near])
+    return forest.root
+
+
+def all_links(prints: DataFrame, radius: int, block: int = COMPARED) -> DataFrame:
+    """Links (src, dst) that join all nodes of (node, w0, ...) within ``radius``: every two blocks of at most about ``block`` rows meet.
+
+    Two blocks give a forest, at most one link a row.
+    """
+    words = [c for c in prints.columns if c != "node"]
+    n = prints.count()
+    blocks = max(1, min(BLOCKS, n // LEAST), -(-n // block))
+
+    def pack(table: pa.Table) -> pa.Table:
+        rows = np.stack([table.column(c).to_numpy() for c in ["node", *words]], axis=1)
+        return pa.table({"block": table.column("block")[:1], "rows": pa.array([rows.tobytes()], pa.binary())})
+
+    def meet(table: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(r.as_py(), np.int64).reshape(-1, len(words) + 1) for r in table.column("rows")]
+        node, prints = np.concatenate([r[:, 0] for r in rows]), [r[:, 1:].view(np.uint64) for r in rows]
+        root = compared(prints[0], prints[1] if len(prints) > 1 else None, radius)
+        apart = root != np.arange(len(root))
+        return pa.table({"src": node[apart], "dst": node[root[apart]]})
+
+    packed = cut(prints.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(pack, "block int, rows binary"))
+    other = packed.select("block", "rows", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    pairs = other.select(F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "rows")
+    # few bytes, much to compare: tasks by pairs of blocks, not by size
+    return pairs.repartition(max(1, blocks * (blocks + 1) // 4), "first", "second").groupBy("first", "second").applyInArrow(meet, "src long, dst long")
+
+
+def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes`` (node, w0, ..., least) with ``component`` and the component's least ``best``."""
-    words = [c for c in nodes.columns if c.startswith("w")]
-    comp = connected_components(links(nodes.select("node", *words), **how))
+    comp = connected_components(edges)
     named = nodes.join(comp.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").withColumn("component", F.coalesce("component", "node")).drop("__node")
     return named.join(named.groupBy("component").agg(F.min("least").alias("best")), "component")
 
@@ -294,17 +345,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         raise ValueError("two halves with balls of radius 1 find distances up to 3")
     prints = cut(docs.select(docs[id_col].alias("doc_id"), fingerprint(docs[text_col], shingle).alias("fp")))
     nodes = cut(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least")).withColumn("w0", F.col("node")))
-    named = cut(_components(nodes, bits=32, radius=radius, block=block).select(F.col("node").alias("__fp"), F.col("best").alias("component_id")))
+    named = cut(_components(nodes, links(nodes.select("node", "w0"), bits=32, radius=radius, block=block)).select(F.col("node").alias("__fp"), F.col("best").alias("component_id")))
     return prints.join(named, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, block: int = COMPARED) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest id.
 
     Texts link whose 256-bit fingerprints of distinct shingles differ in
-    ``radius`` bits or fewer and in at most one bit of one of eight segments.  Of
-    several rows with this id, that with the smallest hash of its text is kept,
-    and one of equal rows.  A group whose ids are all null keeps one row.  All
+    ``radius`` bits or fewer, all pairs.  Of several rows with this id, that with
+    the smallest hash of its text is kept, and one of equal rows.  A group whose ids are all null keeps one row.  All
     null and empty texts are one group; an empty table gives an empty result.
     """
     text_hash = F.xxhash64(docs[text_col])
@@ -313,7 +363,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = cut(prints.groupBy("id", "hash", "words", *_WIDE).agg(F.count(F.lit(1)).alias("rows")))
     nodes = rows.groupBy("words", *_WIDE).agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "hash", "rows")).alias("least"))
     nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), *_WIDE, "least"))
-    chosen = _components(nodes, bits=16, radius=radius, indexed=INDEXED, block=block).where(F.col("least").eqNullSafe(F.col("best")))
+    chosen = _components(nodes, all_links(nodes.select("node", *_WIDE), radius, block)).where(F.col("least").eqNullSafe(F.col("best")))
     chosen = cut(chosen.select(_text(F.col("best.id")).alias("__id"), F.col("best.hash").alias("__hash"), F.col("best.rows").alias("__rows")))
     keyed = docs.withColumns({"__a": _text(docs[id_col]), "__b": text_hash})
     same = (F.col("__a") == F.col("__id")) & (F.col("__b") == F.col("__hash"))

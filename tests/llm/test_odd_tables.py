@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from test_queries import luhn, pii_base
 
 from tessera.llm import components, decontam, embedding_dedup, kneser_ney, mixing, pii, ppm, secret_scan, sharding, simhash, toxicity
+from tessera.llm.common import LOWER
 
 
 FIRST = "the quick brown fox jumps over the lazy dog and runs away from it all"
@@ -431,6 +432,46 @@ def test_deduplicate_by_similarity(spark):
     assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} == want
 
 
+def test_deduplicate_links_texts_whose_segments_all_differ(spark):
+    """Pairs of the larger table within the radius, no 16-bit segment of which differs in one bit or none."""
+    ids = (1212, 6252, 4832, 5011, 7446, 9953)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(F.col("doc_id").isin(*ids))
+    prints = {r["doc_id"]: simhash.wide_print((r["text"] or "").encode().translate(LOWER).split(), {})[:-1] for r in docs.collect()}
+    for a, b in zip(ids[::2], ids[1::2], strict=True):
+        assert np.bitwise_count(prints[a] ^ prints[b]).sum() <= simhash.RADIUS
+        assert (np.bitwise_count(prints[a].view(np.uint16) ^ prints[b].view(np.uint16))[: 4 * simhash.INDEXED] > 1).all()
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect()) == sorted(ids[::2])
+
+
+@pytest.mark.parametrize("block", [1 << 18, 70, 9])
+def test_simhash_all_links_against_all_pairs(spark, block):
+    """Wide fingerprints just within and just beyond the radius, however many blocks there are."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(70):
+        base = rng.integers(0, 2, 256)
+        for far in (0, 44, 45, 30):
+            p = base.copy()
+            p[rng.choice(256, far, replace=False)] ^= 1
+            rows.append(np.packbits(p).view(np.int64))
+    frame = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(rows)], "node long, w0 long, w1 long, w2 long, w3 long")
+    got = [tuple(r) for r in simhash.all_links(frame, 44, block).collect()]
+    prints = np.stack(rows).view(np.uint64)
+    near = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2) <= 44
+    assert components_of(range(len(rows)), got) == groups_of(range(len(rows)), lambda a, b: near[a, b])
+    assert all(near[a].sum() > 1 for a, _ in got)
+
+
+def test_simhash_all_links_of_a_dense_group_are_a_forest(spark):
+    rng = np.random.default_rng(9)
+    prints = np.zeros((3000, 4), np.int64)
+    prints[:, 3] = rng.choice(1 << 40, 3000, replace=False)
+    frame = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(prints)], "node long, w0 long, w1 long, w2 long, w3 long")
+    got = simhash.all_links(frame, 44, 1000)
+    assert got.count() <= 4 * len(prints)
+    assert components.connected_components(got).select("component").distinct().count() == 1
+
+
 def test_components_with_hubs(spark):
     """Stars of thousands of edges and what hangs on them."""
     edges = [(0, i) for i in range(1, 3000)] + [(5000, i) for i in range(5001, 8000)] + [(i, i + 10_000) for i in range(1, 3000, 7)] + [(5003, 20_000), (20_000, 20_001)]
