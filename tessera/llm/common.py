@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -35,6 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free(spark: SparkSession) -> None:
+    """Have Spark delete what was shuffled for frames that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ranked(df: DataFrame, *order: Column) -> DataFrame:
     """``df`` with ``rank``, 0, 1, ... in this order, by sorted partitions and the counts of their rows."""
     rows = cut(df.orderBy(*order)).withColumn("__at", F.monotonically_increasing_id())

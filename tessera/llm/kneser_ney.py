@@ -7,8 +7,10 @@ windows are joined with the shards' counts, which gives each document's
 perplexity; it is compared with a quantile of held-out trusted texts of its
 language.
 
-The model is fitted on a bounded sample of trusted rows, whose n-grams are all
-kept.  The most frequent windows, at most ``max_grams``, are broadcast with their
+All trusted texts give counts and thresholds, and all their n-grams are kept.
+The ids' hash deals them to two halves with a model each: a trusted text is
+scored by the half that it is not in, any other text by the model of both.  The
+most frequent windows, at most ``max_grams``, are broadcast with their
 probabilities and need no join.
 """
 
@@ -24,12 +26,13 @@ from pyspark.sql import functions as F
 
 from . import ngram_shards as shards
 from . import ngrams
-from .common import cut
+from .common import cut, free
 
 ORDER = 6
-#: Trusted texts that the counts are taken from (in expectation), and how many of each language at least, but no more
-#: than half of its texts; the thresholds are taken from all others.
-SAMPLE, OF_LANGUAGE = 8_000, 200
+#: Where a caller asks for a sample: how many texts of each language at least, but no more than half, give the counts.
+OF_LANGUAGE = 200
+#: Trusted ids that are broadcast at most; more meet the texts by a shuffle.
+BROADCAST_TRUSTED = 400_000
 #: Windows that are broadcast at most; the others are looked up in shards.
 MAX_GRAMS = 2_000_000
 #: A text of a language is rejected above this quantile of trusted perplexities, widened by MARGIN in log space.
@@ -120,11 +123,24 @@ def _of_shard(counts: shards.Counts, cut_off: list):
     return model
 
 
+@dataclass(frozen=True)
+class Models:
+    """The model of all counted texts, those of the two halves (none with a sample), and the trusted ids, counted in the first half or not."""
+
+    full: Model
+    halves: tuple[Model, Model] | None
+    trusted: DataFrame
+
+    def held(self) -> DataFrame:
+        """Trusted ids whose texts are scored by a model that has not counted them."""
+        return self.trusted if self.halves else self.trusted.where(~F.col("__counted"))
+
+
 @dataclass(frozen=True)
 class Classifier:
-    """A model, its mean negative log probability a byte, and the largest accepted log perplexity by language."""
+    """Models, the mean negative log probability a byte of held-out texts, and the largest accepted log perplexity by language."""
 
-    model: Model
+    models: Models
     mean: float
     by_language: dict[str, float]
     otherwise: float
@@ -140,16 +156,21 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 def train(texts: DataFrame, *, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Model:
     """Fit on the one text column."""
-    parts = shards.shard_count(texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0)
+    return _model(_counts(texts, order, shards.shard_count(texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0)), max_grams)
+
 
+def _counts(texts: DataFrame, order: int, parts: int) -> shards.Counts:
     def run(batches):
         grams = shards.GramSink(order, parts)
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             yield from grams.add([t.as_py() for t in batch.column(0).cast(pa.binary())])
         yield from grams.rest()
 
-    counts = shards.counted(texts.mapInArrow(run, shards._TABLE_TYPE), order, parts, few(order))
-    n = dict(counts.few)
+    return shards.counted(texts.mapInArrow(run, shards._TABLE_TYPE), order, parts, few(order))
+
+
+def _model(counts: shards.Counts, max_grams: int) -> Model:
+    order, n = counts.order, dict(counts.few)
     for k, level in enumerate(counts.low):
         times = adjusted(level, k)[1]
         n |= {8 * k + i: int((times == i).sum()) for i in (1, 2, 3, 4)}
@@ -157,12 +178,17 @@ def train(texts: DataFrame, *, order: int = ORDER, max_grams: int = MAX_GRAMS) -
     return Model(counts, cut_off, shards.frequent(counts, max_grams, _of_shard(counts, cut_off)))
 
 
-def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text and with ``__nll`` and ``__bytes``: the negative log probability of a text and its end, and their bytes."""
+def score(docs: DataFrame, model: Model, *, text_col: str = "text", size: int | None = None) -> DataFrame:
+    """``docs`` without the text and with ``__nll`` and ``__bytes``: the negative log probability of a text and its end, and their bytes.
+
+    ``size`` is the texts' number of bytes, where it is known.
+    """
     carried = [c for c in docs.columns if c != text_col]
     order, parts = model.counts.order, model.counts.shards
     shared = docs.sparkSession.sparkContext.broadcast(model.often)
-    several = shards.copies(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0, parts)
+    if size is None:
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    several = shards.copies(size, parts)
 
     def run(batches):
         asking, own = shards.Asking(shared.value, order, parts), []
@@ -193,14 +219,16 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
     return docs.select(docs[id_col].alias("__id"), docs[lang_col].alias("__lang"), F.xxhash64(docs[text_col]).alias("__hash"), docs[text_col].alias("__text"))
 
 
-def _trusted(rows: DataFrame, trusted: DataFrame, id_col: str, sample: int) -> DataFrame:
-    """(member, language, counted) of the trusted ids with a text: counted ones give the counts, the others the thresholds."""
+def _trusted(rows: DataFrame, trusted: DataFrame, id_col: str, sample: int | None) -> DataFrame:
+    """(member, language, counted) of the trusted ids with a text: in the first half or not; with a sample, counted ones give the counts, the others the thresholds."""
     ids = trusted.select(trusted[id_col].alias("__member")).where(F.col("__member").isNotNull()).distinct()
     members = cut(rows.where(F.col("__text").isNotNull()).select("__id", "__lang").join(ids, F.col("__id") == F.col("__member")).select("__member", "__lang").distinct())
+    draw = F.pmod(F.xxhash64("__member", F.lit("trusted")), F.lit(1 << 20)) / float(1 << 20)
+    if sample is None:
+        return members.select("__member", F.col("__lang").alias("__of"), (draw < 0.5).alias("__counted"))
     sizes = members.groupBy("__lang").agg(F.count(F.lit(1)).alias("__n"))
     total = sizes.agg(F.sum("__n")).first()[0] or 0
     share = F.least(F.lit(0.5), F.greatest(F.lit(sample / max(1, total)), OF_LANGUAGE / F.col("__n")))
-    draw = F.pmod(F.xxhash64("__member", F.lit("trusted")), F.lit(1 << 20)) / float(1 << 20)
     # a row a language
     drawn = members.join(sizes.select(F.col("__lang").alias("__of"), share.alias("__share")), F.col("__lang").eqNullSafe(F.col("__of")))
     return cut(drawn.select("__member", F.col("__lang").alias("__of"), (draw < F.col("__share")).alias("__counted")))
@@ -210,20 +238,53 @@ def _is_member() -> Column:
     return (F.col("__id") == F.col("__member")) & F.col("__lang").eqNullSafe(F.col("__of"))
 
 
-def _fit_model(rows: DataFrame, drawn: DataFrame, order: int) -> Model:
-    # the sample is bounded, its ids too
-    return train(cut(rows.where(F.col("__text").isNotNull()).join(F.broadcast(drawn.where("__counted")), _is_member()).select("__text")), order=order)
-
-
-def _thresholds(model: Model, held: DataFrame, quantile: float, margin: float) -> Classifier:
+def _marked(rows: DataFrame, trusted: DataFrame, how: str) -> tuple[DataFrame, dict[bool | None, int]]:
+    """``rows`` with __counted of the trusted ids, and the bytes of text by it; shuffled and kept where the ids are too many to broadcast."""
+    some = trusted.limit(BROADCAST_TRUSTED + 1).count() <= BROADCAST_TRUSTED
+    flagged = lambda r: r.join(F.broadcast(trusted) if some else trusted, _is_member(), how).select(*r.columns, "__counted")
+    sizes = flagged(rows.select("__id", "__lang", F.octet_length("__text").alias("__size"))).groupBy("__counted").agg(F.sum("__size")).collect()
+    found = flagged(rows) if some else cut(flagged(rows))
+    free(rows.sparkSession)
+    return found, {r[0]: r[1] or 0 for r in sizes}
+
+
+def _fit_models(rows: DataFrame, drawn: DataFrame, order: int, sample: int | None) -> Models:
+    texts, sizes = _marked(rows.where(F.col("__text").isNotNull()), drawn, "inner")
+    if sample is not None:
+        return Models(train(cut(texts.where("__counted").select("__text")), order=order), None, drawn)
+    parts = shards.shard_count(sum(sizes.values()))
+    halves = [_counts(texts.where(F.col("__counted") == half).select("__text"), order, parts) for half in (True, False)]
+    free(rows.sparkSession)
+    both = shards.counted(halves[0].table.unionByName(halves[1].table), order, parts, few(order))
+    free(rows.sparkSession)
+    return Models(_model(both, MAX_GRAMS), (_model(halves[0], MAX_GRAMS), _model(halves[1], MAX_GRAMS)), drawn)
+
+
+def _scored(rows: DataFrame, models: Models) -> DataFrame:
+    """:func:`score` of ``rows``: trusted texts by the half that they are not in, others by the model of all."""
+    if not models.halves:
+        return cut(score(rows, models.full, text_col="__text"))
+    flagged, sizes = _marked(rows, models.trusted, "left")
+    out = None
+    for half, model in ((True, models.halves[1]), (False, models.halves[0]), (None, models.full)):
+        if half in sizes or (half is None and out is None):
+            part = flagged.where(F.col("__counted").eqNullSafe(F.lit(half))).drop("__counted")
+            done = cut(score(part, model, text_col="__text", size=sizes.get(half, 0)))
+            out = done if out is None else out.unionByName(done)
+            # what one part has shuffled goes before the next
+            free(rows.sparkSession)
+    return out
+
+
+def _thresholds(models: Models, held: DataFrame, quantile: float, margin: float) -> Classifier:
     """From (__lang, __nll, __bytes) of held-out trusted texts."""
     mean = held.agg(F.sum("__nll") / F.sum("__bytes")).first()[0]
     if mean is None:
-        return Classifier(model, 0.0, {}, math.inf)
+        return Classifier(models, 0.0, {}, math.inf)
     # summaries that tasks merge: no task holds a language's values
     level = F.percentile_approx(_smooth(mean), quantile, RANKS).alias("level")
     by = held.where(F.col("__lang").isNotNull()).groupBy("__lang").agg(F.count(F.lit(1)).alias("n"), level).where(F.col("n") >= OWN_LANGUAGE).collect()
-    return Classifier(model, mean, {r["__lang"]: r["level"] + margin for r in by}, held.agg(level).first()[0] + margin)
+    return Classifier(models, mean, {r["__lang"]: r["level"] + margin for r in by}, held.agg(level).first()[0] + margin)
 
 
 def _smooth(mean: float) -> Column:
@@ -239,25 +300,25 @@ def _decided(scored: DataFrame, classifier: Classifier) -> DataFrame:
 
 
 def fit(
-    docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, order: int = ORDER,
+    docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int | None = None, order: int = ORDER,
     quantile: float = QUANTILE, margin: float = MARGIN,
 ) -> Classifier:
     """Fit on the rows of ``docs`` whose ids ``trusted`` (one id column) lists.
 
-    About ``sample`` texts, drawn by the hash of their ids, give the counts, more
-    where a language would have fewer than ``OF_LANGUAGE``; all others give the
-    thresholds.  Repeated and null ids count once and never.  Without trusted
-    texts every text is accepted.
+    All trusted texts give counts, and all give thresholds by what the half of
+    them that a text is not in says of it.  With ``sample``, about so many texts,
+    drawn by the hash of their ids, give the counts, more where a language would
+    have fewer than ``OF_LANGUAGE``; all others give the thresholds.  Repeated and
+    null ids count once and never.  Without trusted texts every text is accepted.
     """
     rows = _keyed(docs, id_col, text_col, lang_col)
-    drawn = _trusted(rows, trusted, id_col, sample)
-    model = _fit_model(rows, drawn, order)
-    held = rows.where(F.col("__text").isNotNull()).join(drawn.where(~F.col("__counted")), _is_member()).select("__lang", "__text")
-    return _thresholds(model, cut(score(held, model, text_col="__text")), quantile, margin)
+    models = _fit_models(rows, _trusted(rows, trusted, id_col, sample), order, sample)
+    held = rows.where(F.col("__text").isNotNull()).join(models.held(), _is_member()).select("__id", "__lang", "__text")
+    return _thresholds(models, _scored(held, models), quantile, margin)
 
 
 def judge(
-    docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, order: int = ORDER,
+    docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int | None = None, order: int = ORDER,
     quantile: float = QUANTILE, margin: float = MARGIN,
 ) -> DataFrame:
     """:func:`fit` and :func:`classify` on the same documents, each scored once.
@@ -266,11 +327,10 @@ def judge(
     threshold, accepted.
     """
     rows = _keyed(docs, id_col, text_col, lang_col)
-    drawn = _trusted(rows, trusted, id_col, sample)
-    model = _fit_model(rows, drawn, order)
-    scored = cut(score(rows.withColumn("__some", F.col("__text").isNotNull()), model, text_col="__text"))
-    held = scored.where("__some").join(drawn.where(~F.col("__counted")), _is_member())
-    return _decided(scored, _thresholds(model, held, quantile, margin))
+    models = _fit_models(rows, _trusted(rows, trusted, id_col, sample), order, sample)
+    scored = _scored(rows.withColumn("__some", F.col("__text").isNotNull()), models)
+    held = scored.where("__some").join(models.held(), _is_member())
+    return _decided(scored, _thresholds(models, held, quantile, margin))
 
 
 def marked(docs: DataFrame, decisions: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -292,4 +352,4 @@ def classify(docs: DataFrame, classifier: Classifier, *, id_col: str = "doc_id",
     of all languages.  Existing columns of these names are replaced.
     """
     rows = _keyed(docs, id_col, text_col, lang_col)
-    return marked(docs, _decided(score(rows, classifier.model, text_col="__text"), classifier), id_col=id_col, text_col=text_col, lang_col=lang_col)
+    return marked(docs, _decided(_scored(rows, classifier.models), classifier), id_col=id_col, text_col=text_col, lang_col=lang_col)

@@ -670,6 +670,38 @@ def test_quality_thresholds_are_quantiles_of_held_out_texts(spark):
     assert all(r["accepted"] == (r["log_perplexity"] <= r["threshold"]) for r in got)
 
 
+def test_quality_counts_and_thresholds_come_from_all_trusted_texts(spark, monkeypatch):
+    """Texts that aren't trusted are scored by the model of all trusted ones, those by the half without them; all give the threshold."""
+    from math import log
+
+    from tessera.llm import ngrams
+
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(30)]
+    texts = {i: " ".join(rng.choice(words, rng.integers(2, 9))) for i in range(130)}
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")
+    trusted = docs.where("doc_id < 90").select("doc_id")
+    drawn = kneser_ney._trusted(kneser_ney._keyed(docs, "doc_id", "text", "lang"), trusted, "doc_id", None).collect()
+    first = {r["__member"] for r in drawn if r["__counted"]}
+    assert len(drawn) == 90 and 30 < len(first) < 60
+    order = 3
+    models = {half: brute_kneser_ney([t for i, t in texts.items() if i < 90 and half in (None, i in first)], order) for half in (None, True, False)}
+    nll = {}
+    for i, t in texts.items():
+        p = models[None if i >= 90 else i not in first]
+        s = [ngrams.PAD] * order + list(t.encode()) + [ngrams.END]
+        nll[i] = -sum(log(p(tuple(s[at - order : at + 1]), order)) for at in range(order, len(s)))
+    size = {i: len(t) + 1 for i, t in texts.items()}
+    mean = sum(nll[i] for i in range(90)) / sum(size[i] for i in range(90))
+    want = {i: (nll[i] + kneser_ney.SMOOTHING * mean) / (size[i] + kneser_ney.SMOOTHING) for i in texts}
+    limit = sorted(want[i] for i in range(90))[int(np.ceil(0.9 * 90)) - 1] + kneser_ney.MARGIN
+    for broadcast in (1000, 10):
+        monkeypatch.setattr(kneser_ney, "BROADCAST_TRUSTED", broadcast)
+        got = {r["__id"]: r for r in kneser_ney.judge(docs, trusted, order=order, quantile=0.9).collect()}
+        assert {i: r["log_perplexity"] for i, r in got.items()} == pytest.approx(want)
+        assert all(r["threshold"] == pytest.approx(limit) for r in got.values())
+
+
 def test_quality_judges_each_row_once(spark, docs):
     """What is judged in one pass is what fit and classify say."""
     trusted = docs.where("doc_id IS NULL OR doc_id <> 2").select("doc_id").distinct()
