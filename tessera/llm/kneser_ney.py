@@ -16,6 +16,7 @@ probabilities and need no join.
 
 from __future__ import annotations
 
+import gc
 import math
 from dataclasses import dataclass
 
@@ -125,10 +126,13 @@ def _of_shard(counts: shards.Counts, cut_off: list):
 
 @dataclass(frozen=True)
 class Models:
-    """The model of all counted texts, those of the two halves (none with a sample), and the trusted ids, counted in the first half or not."""
+    """Counts of all counted texts, those of the two halves (none with a sample), and the trusted ids, counted in the first half or not.
 
-    full: Model
-    halves: tuple[Model, Model] | None
+    A model's broadcast windows are there only while it scores.
+    """
+
+    full: shards.Counts
+    halves: tuple[shards.Counts, shards.Counts] | None
     trusted: DataFrame
 
     def held(self) -> DataFrame:
@@ -191,6 +195,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", size: int |
     several = shards.copies(size, parts)
 
     def run(batches):
+        gc.collect()  # windows of a model that this process has scored with before
         asking, own = shards.Asking(shared.value, order, parts), []
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             texts = [t.as_py() for t in batch.column(len(carried)).cast(pa.binary())]
@@ -251,25 +256,25 @@ def _marked(rows: DataFrame, trusted: DataFrame, how: str) -> tuple[DataFrame, d
 def _fit_models(rows: DataFrame, drawn: DataFrame, order: int, sample: int | None) -> Models:
     texts, sizes = _marked(rows.where(F.col("__text").isNotNull()), drawn, "inner")
     if sample is not None:
-        return Models(train(cut(texts.where("__counted").select("__text")), order=order), None, drawn)
+        return Models(_counts(cut(texts.where("__counted").select("__text")), order, shards.shard_count(sizes.get(True, 0))), None, drawn)
     parts = shards.shard_count(sum(sizes.values()))
-    halves = [_counts(texts.where(F.col("__counted") == half).select("__text"), order, parts) for half in (True, False)]
+    one, other = (_counts(texts.where(F.col("__counted") == half).select("__text"), order, parts) for half in (True, False))
     free(rows.sparkSession)
-    both = shards.counted(halves[0].table.unionByName(halves[1].table), order, parts, few(order))
+    both = shards.counted(one.table.unionByName(other.table), order, parts, few(order))
     free(rows.sparkSession)
-    return Models(_model(both, MAX_GRAMS), (_model(halves[0], MAX_GRAMS), _model(halves[1], MAX_GRAMS)), drawn)
+    return Models(both, (one, other), drawn)
 
 
 def _scored(rows: DataFrame, models: Models) -> DataFrame:
     """:func:`score` of ``rows``: trusted texts by the half that they are not in, others by the model of all."""
     if not models.halves:
-        return cut(score(rows, models.full, text_col="__text"))
+        return cut(score(rows, _model(models.full, MAX_GRAMS), text_col="__text"))
     flagged, sizes = _marked(rows, models.trusted, "left")
     out = None
-    for half, model in ((True, models.halves[1]), (False, models.halves[0]), (None, models.full)):
+    for half, counts, most in ((True, models.halves[1], MAX_GRAMS // 2), (False, models.halves[0], MAX_GRAMS // 2), (None, models.full, MAX_GRAMS)):
         if half in sizes or (half is None and out is None):
             part = flagged.where(F.col("__counted").eqNullSafe(F.lit(half))).drop("__counted")
-            done = cut(score(part, model, text_col="__text", size=sizes.get(half, 0)))
+            done = cut(score(part, _model(counts, most), text_col="__text", size=sizes.get(half, 0)))
             out = done if out is None else out.unionByName(done)
             # what one part has shuffled goes before the next
             free(rows.sparkSession)
