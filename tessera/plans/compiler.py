@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from .expr import Agg, Field, Lit, Lookup, LookupField, Op, Rows, Scan, Scoped, children, outer_fields
+from .ordered import ordered_join
 
 Source = Callable[[Any], DataFrame]
 
@@ -137,11 +138,46 @@ class Frame:
                 df = df.where(self.column(f))
             both = usable(have | fields)
             placed.update(both)
+            joined = self._join_in_order(df, both, have, fields)
             have |= fields
             on = functools.reduce(lambda a, b: a & b, [self.column(f) for f in both]) if both else None
-            self.df = self.df.join(df, on) if on is not None else self.df.crossJoin(df)
+            self.df = joined if joined is not None else self.df.join(df, on) if on is not None else self.df.crossJoin(df)
         return rest
 
+    def _join_in_order(self, df: DataFrame, both: list[Any], have: set, fields: set) -> DataFrame | None:
+        """The join with ``df`` where both an equality and a comparison link it and no equality gives a row one partner at most."""
+        links = [f for f in both if self._equi(f, have, fields)]
+        bounds = ((f, *b) for f in both if f not in links for b in self._bounds(f))
+        mine = lambda n: set(outer_fields(n)) <= have
+        here = lambda n: set(outer_fields(n)) <= fields
+        found = next((b for b in bounds if outer_fields(b[1]) and outer_fields(b[2]) and ((mine(b[1]) and here(b[2])) or (here(b[1]) and mine(b[2])))), None)
+        if not links or found is None or any(self._unique(a) for f in links for a in f.args):
+            return None
+        f, x, y, strict = found
+        low = have if mine(x) else fields
+        keys = []
+        for link in links:
+            a, b = link.args if set(outer_fields(link.args[0])) <= low else reversed(link.args)
+            keys.append((self.column(a), self.column(b), link.name == "eq" and (_nullable(a) or _nullable(b))))
+        rest = [self.column(r) for r in both if r not in links and (r is not f or f.name == "between")]
+        left, right = (self.df, df) if low is have else (df, self.df)
+        return ordered_join(left, right, keys, self.column(x), self.column(y), strict, rest, self._name)
+
+    @staticmethod
+    def _bounds(f: Any) -> list[tuple[Any, Any, bool]]:
+        """What ``f`` says about order: the lower value, the higher one, and whether they differ."""
+        if not isinstance(f, Op) or f.name not in ("lt", "lte", "gt", "gte", "between"):
+            return []
+        if f.name == "between":
+            v, low, high = f.args
+            return [(low, v, False), (v, high, False)]
+        low, high = f.args if f.name in ("lt", "lte") else reversed(f.args)
+        return [(low, high, f.name in ("lt", "gt"))]
+
+    @staticmethod
+    def _unique(node: Any) -> bool:
+        return isinstance(node, Field) and (node.column == node.scan.table._pk or (node.column,) in node.scan.table._uniques)
+
     @staticmethod
     def _plain(node: Any, local: set, known: set) -> bool:
         if isinstance(node, (Agg, LookupField)):

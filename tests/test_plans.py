@@ -1,10 +1,12 @@
 """What the compiler makes of queries, and what it refuses."""
 
+import math
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from tessera import ScopeError, TypeMismatch, aggregate, optional
+from tessera import F64, I64, Column, ScopeError, String, Table, TypeMismatch, aggregate, optional
 from tessera.catalog import TABLES, Customer, Document, Label, Lineitem, Nation, Order, Part, Region
 from tessera.plans.scopes import Query, opened
 from tessera.sources.external import ExternalSource, Runner, run_query
@@ -244,3 +246,119 @@ def test_catalogue_has_sql_for_every_query():
     from tessera import catalog
 
     assert set(catalog.queries()) == set(catalog.oracle_sql()) and len(TABLES.tables) == 10
+
+
+class Dot(Table):
+    kind = Column(I64)
+    size = Column(I64)
+    weight = Column(F64)
+    name = Column(String)
+
+
+DOTS = [
+    (i, k, s, w, n)
+    for i, (k, s, w, n) in enumerate(
+        [(k, s, w, n) for k in (1, 2) for s, w, n in [(1, 0.5, "a"), (1, -0.0, ""), (2, 0.0, "b"), (7, math.inf, "B"), (-(1 << 62), math.nan, "ä"), ((1 << 62), -math.inf, "a"), (3, math.nan, "\U0001f600"), (0, -2.5, "z")]]
+        + [(3, 5, 1.0, "c"), (4, 1, 1.0, "x"), (4, 9, 2.0, "y"), (0, 1, 0.0, "n"), (0, 2, 1.0, "o")]
+        + [(5, i * 37 % 41, float(i % 11), str(i)) for i in range(60)]
+    )
+]
+
+
+@pytest.fixture(scope="module")
+def dots(spark):
+    return lambda table: spark.createDataFrame(DOTS, "id long, kind long, size long, weight double, name string") if table is Dot else spark.range(1).select()
+
+
+def float_key(v):
+    """Spark's order of doubles: NaN equals itself and comes last, both zeros are equal."""
+    return (1, 0.0) if v != v else (0, v + 0.0)
+
+
+ORDERS = {
+    "ints": (lambda a, b: [a.size.add(1).lt(b.size)], lambda a, b: a[2] + 1 < b[2]),
+    "swapped": (lambda a, b: [b.size.gte(a.size)], lambda a, b: b[2] >= a[2]),
+    "below": (lambda a, b: [a.size.gt(b.size)], lambda a, b: a[2] > b[2]),
+    "floats": (lambda a, b: [a.weight.lt(b.weight)], lambda a, b: float_key(a[3]) < float_key(b[3])),
+    "floats, equal ones too": (lambda a, b: [a.weight.lte(b.weight)], lambda a, b: float_key(a[3]) <= float_key(b[3])),
+    "texts": (lambda a, b: [a.name.lt(b.name)], lambda a, b: a[4].encode() < b[4].encode()),
+    "between": (lambda a, b: [b.size.between(a.size, a.size.add(2))], lambda a, b: a[2] <= b[2] <= a[2] + 2),
+    "between two rows": (lambda a, b: [a.size.between(0, b.size)], lambda a, b: 0 <= a[2] <= b[2]),
+    "two comparisons": (lambda a, b: [a.size.lt(b.size), a.weight.gt(b.weight), a.name.neq("a")], lambda a, b: a[2] < b[2] and float_key(a[3]) > float_key(b[3]) and a[4] != "a"),
+    "values that miss": (lambda a, b: [a.weight.add(a.weight).lt(b.weight)], lambda a, b: a[3] == a[3] and float_key(a[3] * 2) < float_key(b[3])),
+}
+
+
+@pytest.mark.parametrize("name", list(ORDERS))
+def test_equality_and_comparison_against_all_pairs(dots, name):
+    conditions, holds = ORDERS[name]
+
+    def fn(q):
+        a, b = q.join(Dot), q.join(Dot)
+        q.filter(a.kind.eq(b.kind))
+        for c in conditions(a, b):
+            q.filter(c)
+        return q.into_df({"a": a, "b": b})
+
+    got = sorted((r["a"], r["b"]) for r in run_query(dots, fn).collect())
+    assert got == sorted((a[0], b[0]) for a in DOTS for b in DOTS if a[1] == b[1] and holds(a, b))
+
+
+def test_comparison_with_missing_keys(dots):
+    """Missing values are equal to each other in ``eq``; several equalities, and a third table by an equality of its own."""
+
+    def fn(q):
+        a, b, c = q.join(Dot), q.join(Dot), q.join(Dot)
+        q.filter(a.weight.div(a.kind.to_f64()).eq(b.weight.div(b.kind.to_f64())))
+        q.filter(a.kind.eq(b.kind))
+        q.filter(a.size.lte(b.size))
+        q.filter(c.name.eq(b.name))
+        return q.into_df({"a": a, "b": b, "c": c})
+
+    def ratio(r):
+        return None if r[1] == 0 or r[3] != r[3] else r[3] / r[1] + 0.0
+
+    got = sorted((r["a"], r["b"], r["c"]) for r in run_query(dots, fn).collect())
+    want = sorted((a[0], b[0], c[0]) for a in DOTS for b in DOTS if ratio(a) == ratio(b) and a[1] == b[1] and a[2] <= b[2] for c in DOTS if c[4] == b[4])
+    assert got == want and any(ratio(DOTS[a]) is None for a, _, _ in got)
+
+
+def test_aggregate_by_equality_and_comparison(dots):
+    def fn(q):
+        a = q.join(Dot)
+
+        def before(rows):
+            b = rows.join(Dot)
+            rows.filter(b.kind.eq(a.kind))
+            rows.filter(b.size.lt(a.size))
+            return rows.count_distinct(b), rows.max(b.size)
+
+        n, most = aggregate(before)
+        return q.into_df({"a": a, "n": n, "most": most})
+
+    got = {r["a"]: (r["n"], r["most"]) for r in run_query(dots, fn).collect()}
+    below = {a[0]: [b[2] for b in DOTS if b[1] == a[1] and b[2] < a[2]] for a in DOTS}
+    assert got == {i: (len(found), max(found, default=None)) for i, found in below.items()}
+
+
+def test_comparison_is_not_tested_for_all_pairs_of_a_key(spark, source):
+    """A key's rows meet only where they are results: the join's pairs are its rows, with no comparison left to test."""
+
+    def fn(q):
+        a, b = q.join(Part), q.join(Part)
+        q.filter(a.brand.eq(b.brand))
+        q.filter(a.size.add(45).lt(b.size))
+        return q.into_df({"a": a, "b": b})
+
+    joins = [line for line in plan_of(run_query(source, fn)).splitlines() if "Join " in line]
+    assert joins and not any("<" in j or ">" in j.replace("<=>", "") for j in joins)
+
+
+def test_comparison_beside_a_unique_key_is_a_plain_join(source):
+    def fn(q):
+        c, o = q.join(Customer), q.join(Order)
+        q.filter(o.customer.eq(c))
+        q.filter(c.balance.lt(o.total))
+        return q.into_df({"o": o})
+
+    assert plan_of(run_query(source, fn)).count("Join ") == 1
